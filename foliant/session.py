@@ -72,7 +72,7 @@ def ship_package(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of a plan's result as the optimizer estimates it; used to choose between broadcast and shuffle."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def width(spark: SparkSession) -> int:
