@@ -36,7 +36,7 @@ MEMO_ENTRIES = 100_000
 #: Longer strings are encoded without being remembered, so the memo's bytes are bounded too.
 MEMO_CHARS = 512
 
-_SEAM = re.compile(r"(?<=[!-~¡-¬®-ɏͰ-ԯ‐-‧、-퟿])(?=[ \n])")
+_SEAM = re.compile(r"(?<=[!-~\u00A1-\u00AC\u00AE-\u024F\u0370-\u052F\u2010-\u2027\u3001-\uD7FF])(?=[ \n])")
 
 
 def default_tokenizer() -> str:

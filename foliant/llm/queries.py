@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encode, split
+from foliant.llm import canonical, encode, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -19,9 +19,23 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.oversized(p1_pieces(spark, sf))
 
 
+def _runs_and_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.run_texts(table(spark, sf, "paragraphs")).unionByName(canonical.term_texts(table(spark, sf, "glossary")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return canonical.changed_ids(_runs_and_terms(spark, sf), "text", "item_kind", "item_id", "run_no")
+
+
+def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return canonical.canonical_texts(_runs_and_terms(spark, sf), "text", "item_kind", "item_id", "run_no")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return encode.token_ids(spread(table(spark, sf, "documents").select("doc_id", "text"), width(spark)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p7_ids": p7_ids}
