@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import canonical, encode, leak, split
+from foliant.llm import canonical, encode, encoding, leak, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -43,4 +43,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leak.leaks(spread(table(spark, sf, "documents").select("doc_id", "text"), width(spark)), table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return encoding.damaged_spans(spread(table(spark, sf, "documents").select("doc_id", "text"), width(spark)))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_restored(spark, sf).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
