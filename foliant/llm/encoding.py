@@ -261,7 +261,7 @@ class Labeller:
         return out
 
 
-_labellers: dict[int, Labeller] = {}
+_held: list[Labeller] = []
 
 
 def damaged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,10 +271,9 @@ def damaged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
 
     def label(b: pa.RecordBatch) -> pa.RecordBatch:
-        if shared.id not in _labellers:
-            _labellers.clear()
-            _labellers[shared.id] = Labeller(shared.value)
-        tool, out = _labellers[shared.id], []
+        if not _held or _held[0].model is not shared.value:
+            _held[:] = [Labeller(shared.value)]
+        tool, out = _held[0], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for start, stop, state in tool.spans(text):
                 part = text[start:stop]
