@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import canonical, encode, encoding, leak, split
+from foliant.llm import canonical, encode, encoding, leak, names, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -33,6 +33,11 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_texts(_runs_and_terms(spark, sf), "text", "item_kind", "item_id", "run_no")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return names.same_entities(table(spark, sf, "entities"), table(spark, sf, "mentions"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return encode.token_ids(spread(table(spark, sf, "documents").select("doc_id", "text"), width(spark)))
@@ -52,4 +57,4 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
