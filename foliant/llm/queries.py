@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import canonical, encode, encoding, leak, names, split
+from foliant.llm import canonical, encode, encoding, langid, leak, names, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -19,6 +19,24 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.oversized(p1_pieces(spark, sf))
 
 
+def _languages(spark: SparkSession, sf: str):
+    return langid.fit(table(spark, sf, "documents"))
+
+
+def _translations(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.translation_items(table(spark, sf, "processed_chunks"), table(spark, sf, "assembled_paragraphs"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return langid.mislabelled(langid.text_languages(_translations(spark, sf), _languages(spark, sf)))
+
+
+def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return langid.text_segments(_translations(spark, sf), _languages(spark, sf))
+
+
 def _runs_and_terms(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.run_texts(table(spark, sf, "paragraphs")).unionByName(canonical.term_texts(table(spark, sf, "glossary")))
 
@@ -57,4 +75,4 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
