@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import canonical, encode, encoding, langid, leak, names, split
+from foliant.llm import canonical, encode, encoding, langid, leak, names, pairs, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -27,6 +27,15 @@ def _translations(spark: SparkSession, sf: str) -> DataFrame:
     return langid.translation_items(table(spark, sf, "processed_chunks"), table(spark, sf, "assembled_paragraphs"))
 
 
+def p2_flags(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return pairs.defects(table(spark, sf, "chunks"), table(spark, sf, "processed_chunks"), _languages(spark, sf))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_flags(spark, sf).select("chapter_id", "chunk_id", "defect")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return langid.mislabelled(langid.text_languages(_translations(spark, sf), _languages(spark, sf)))
@@ -75,4 +84,4 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
