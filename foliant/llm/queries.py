@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import canonical, encode, encoding, langid, leak, names, pairs, split
+from foliant.llm import align, canonical, encode, encoding, langid, leak, names, pairs, split
 from foliant.llm.arrowtools import spread
 from foliant.session import ship_package, table, width
 
@@ -60,6 +60,11 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_texts(_runs_and_terms(spark, sf), "text", "item_kind", "item_id", "run_no")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return align.aligned(table(spark, sf, "chunks"), table(spark, sf, "processed_chunks"), _languages(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return names.same_entities(table(spark, sf, "entities"), table(spark, sf, "mentions"))
@@ -84,4 +89,4 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
