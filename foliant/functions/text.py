@@ -33,9 +33,9 @@ def squash(c: Column | str) -> Column:
 
 
 def estimated_tokens(c: Column | str) -> Column:
-    """A quarter of the code points, rounded up; 0 for an empty text."""
+    """A quarter of the code points, rounded up; 0 for an empty text, null for a null."""
     n = F.length(c)
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(n / 4))).cast("int")
+    return F.when(n == 0, 0).when(n > 0, F.ceil(n / 4)).cast("int")
 
 
 def keeps_source(c: Column | str) -> Column:
