@@ -30,7 +30,7 @@ _INVISIBLE = r"\u00AD\u034F\u180E\u200B\u200E\u200F\u202A-\u202E\u2060-\u2064\u2
 _PLAIN = r"\x00-\x7E\u00A1-\u00AC\u00AE-\u024F\u1E00-\u1EFF\u2010-\u2027\u2030-\u205E"
 _SUSPECT = f"[^{_PLAIN}]"
 _TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}\p{{So}}\p{{Cf}}]+|[{_SPACES}]+"
-_JOINER = r"(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\uFE0F])[\u200C\u200D]"
+_JOINER = r"(^|[^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\uFE0F\u200C\u200D])[\u200C\u200D]+"
 _JOINING_SCRIPT = r"[\u0600-\u08FF\u0900-\u0DFF\u0E00-\u109F]"
 _LATIN = r"[A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF\uFF21-\uFF3A\uFF41-\uFF5A\uFB00-\uFB06]"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -63,7 +63,7 @@ def lookalikes(spark: SparkSession) -> dict[str, str]:
 
 def _mapped(word: Column, look: dict[str, str]) -> Column:
     v = F.regexp_replace(word, f"[{_INVISIBLE}]", "")
-    v = F.when(v.rlike(_JOINING_SCRIPT), v).otherwise(F.regexp_replace(v, _JOINER, ""))
+    v = F.when(v.rlike(_JOINING_SCRIPT), v).otherwise(F.regexp_replace(v, _JOINER, "$1"))
     wide = [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]
     v = F.translate(v, "".join(map(chr, wide)), "".join(chr(c - 0xFEE0) for c in wide))
     for a, b in _LIGATURES.items():

@@ -34,6 +34,10 @@ from foliant.llm.arrowtools import map_batches
 ENTER, SPECIFIC, UNCOMMON, LEAVE = 6.0, 2.5, 5.0, 1.0
 #: Cost of a lost character, of one replaced in the wrong reading whose byte is guessed, and of a byte that does not decode.
 LOST, GUESSED, BROKEN = 4.0, 3.0, 14.0
+#: Probability that a Latin letter or punctuation mark has at least, seen in the documents or not.
+RARE = 4e-6
+#: Cost of changing from one damaged state to another besides entering it, and of a letter in place of a sign that stands alone.
+CHANGE, ALONE = 9.0, 5.0
 
 READ_WITH = ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-2", "iso8859-15")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
@@ -115,6 +119,8 @@ class CleanModel:
         if got is None:
             x, y = symbols(np.array([ord(a), ord(b)])).tolist()
             unigram = (self.one.get(y, 0) + 0.01) / (self.total + 30)
+            if y < 0x180 or 0x2010 <= y < 0x2040:
+                unigram = max(unigram, RARE)
             k = 4.0
             got = math.log((self.two.get((x, y), 0) + k * unigram) / (self.first.get(x, 0) + k))
             if y >= _CLASS0:
@@ -162,11 +168,25 @@ def inverse(text: str, state: tuple[str, str, int]) -> tuple[str, float] | None:
             text = raw.decode(written)
         except UnicodeDecodeError:
             text = raw.decode(written, "replace")
-            cost += BROKEN * text.count("�")
+            broken = text.count("�")
             text = text.replace("�", "")
+            if broken >= sum(c > "\x7f" for c in text):
+                return None
+            cost += BROKEN * broken
     return text, cost
 
 
+def restore(text: str, start: int, stop: int, state: int) -> tuple[int, str | None]:
+    """(end, original) of a labelled span; None where it cannot be restored. Its last character may end on a byte that reads as ASCII."""
+    if state < 0:
+        return stop, None
+    for end in (stop, stop + 1) if STATES[state][0] in ("cp932", "gbk", "big5") and stop < len(text) else (stop,):
+        made = inverse(text[start:end], STATES[state])
+        if made and not made[1]:
+            return end, made[0]
+    return stop, None
+
+
 #: Cost of entering each state by number; the last, -1, is the lost state's.
 _COSTS = [enter_cost(s) for s in (*STATES, None)]
 _readable = {r: set(_bytes_of(r)) for r in READ_WITH}
@@ -206,6 +226,8 @@ class Labeller:
             for i, state in enumerate(STATES):
                 if chars <= _readable[state[1]] and (made := inverse(run, state)) and made[0] != run:
                     value = score(left + made[0] + right) - made[1]
+                    if made[0][:1].isalpha() and not (left.isalpha() or right.isalpha() or run[0].isalpha()):
+                        value -= ALONE
                     if value > clean - 2 * ENTER:
                         out[i] = value
             if "�" in run or any("\x7f" <= c < "\xa0" for c in run):
@@ -235,7 +257,7 @@ class Labeller:
             now[None], came[None] = arrive + clean, source
             top = max(best, key=best.get)
             for s, e in others.items():
-                v, source = best[top] - _COSTS[s], top
+                v, source = best[top] - _COSTS[s] - (CHANGE if top is not None else 0), top
                 if s in best and best[s] > v:
                     v, source = best[s], s
                 now[s], came[s] = v + e, source
@@ -276,11 +298,9 @@ def damaged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tool, out = _held[0], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for start, stop, state in tool.spans(text):
-                part = text[start:stop]
-                made = inverse(part, STATES[state]) if state >= 0 else None
-                fine = made is not None and made[1] == 0
+                stop, made = restore(text, start, stop, state)
                 written, read = STATES[state][:2] if state >= 0 else (None, None)
-                out.append((i, start, stop, written, read, part, made[0] if fine else None, fine))
+                out.append((i, start, stop, written, read, text[start:stop], made, made is not None))
         cols = list(zip(*out)) if out else [[] for _ in range(8)]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
         names = [x.split()[0] for x in SPANS.split(", ")]

@@ -146,10 +146,10 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
         if p["title"]:
             for (x,), e in choices([w]):
                 put("s:" + x, "title", e)
-        if len(w) >= JOINED_LENGTH:
+        if len(w) >= JOINED_LENGTH and not p["title"]:
             put("j:" + w, "joined", 0)
-            for i in range(len(w)):
-                put("d:" + w[:i] + w[i + 1 :], "joined", 1)
+            for cut_ in [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]:
+                put("d:" + cut_, "joined", 1)
         if stem := _pet_stem(w):
             put("m:" + stem, "pet", 0)
         if p["bare"] and 2 <= len(w) <= 4:
@@ -159,8 +159,6 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
             put("d:" + j, "joined", 1)
             for i in range(len(j)):
                 put("d:" + j[:i] + j[i + 1 :], "joined", 1)
-    if not p["kind"] and len(full) == 1 and len(full[0]) >= JOINED_LENGTH:
-        put("d:" + full[0], "joined", 1)
     return [(form, kind, cost, middle) for (form, kind, middle), cost in out.items()]
 
 
