@@ -93,8 +93,8 @@ def canonical_words(words: DataFrame) -> DataFrame:
     plain = F.when(F.col("mapped").rlike(r"\p{M}"), _composed("mapped")).otherwise(F.col("mapped"))
     foreign_digits = F.regexp_replace("mapped", r"[^\p{Nd}]|[0-9]", "")  # the collation holds digits of all scripts for equal
     each = each.select("word", F.collate("mapped", "UNICODE").alias("key"), foreign_digits.alias("digits"), plain.alias("plain"))
-    best = each.groupBy("key", "digits").agg(F.min(F.struct(F.length("plain").alias("n"), "plain")).alias("best"), F.collect_set("word").alias("words"))
-    return best.select(F.explode("words").alias("word"), F.col("best.plain").alias("canonical")).where(F.col("word") != F.col("canonical"))
+    best = each.groupBy("key", "digits").agg(F.min(F.struct(F.length("plain").alias("n"), "plain")).alias("best"))
+    return each.join(best, ["key", "digits"]).select("word", F.col("best.plain").alias("canonical")).where(F.col("word") != F.col("canonical"))
 
 
 def changed_ids(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:

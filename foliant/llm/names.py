@@ -42,6 +42,10 @@ PET_ENDINGS = ("y", "ie", "ka", "in", "o")
 COST = {"full": 0.0, "joined": 0.3, "nick": 1.4, "initial": 2.4, "title": 3.0, "acronym": 3.4, "pet": 3.6}
 #: Rewritings of the first round.
 STRONG = ("full", "joined", "nick")
+#: Words of a name that may be mistyped at once.
+MISTYPED = 3
+#: Words of the longest name in which mistyped words are looked for; longer texts are no names that people type.
+LONG = 12
 #: Letters of the shortest word that may be mistyped, and of the shortest name run together.
 TYPO_LENGTH, JOINED_LENGTH = 4, 9
 
@@ -99,9 +103,16 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
         out[key] = min(out.get(key, 99.0), COST[kind] + cost)
 
     def choices(ws: list[str]) -> Iterator[tuple[tuple[str, ...], int]]:
-        options = [near.get(w) or [(w, 0)] for w in ws]
-        for pick in itertools.islice(itertools.product(*options), 64):
-            yield tuple(w for w, _ in pick), sum(e for _, e in pick)
+        """Every way to rewrite at most MISTYPED words of a name to registered ones; the other words stay as typed."""
+        other = [[v for v, e in near.get(w, ()) if e] for w in ws]
+        spots = [i for i, o in enumerate(other) if o]
+        for k in range(min(MISTYPED if len(ws) <= LONG else 0, len(spots)) + 1):
+            for at in itertools.combinations(spots, k):
+                for pick in itertools.product(*(other[i] for i in at)):
+                    out_ = list(ws)
+                    for i, v in zip(at, pick):
+                        out_[i] = v
+                    yield tuple(out_), k
 
     if p["kind"] or any(v in _FIRST or v in _LAST for w in words for v, _ in near.get(w, ()) if len(w) > 3):
         for ws, e in choices(words):
