@@ -15,11 +15,15 @@ TOC_TITLES = ("contents", "table of contents", "toc", "daftar isi", "isi", "inde
 NON_STORY = r"(?i)\b(cover|sampul|title page|copyright|colou?r gallery|illustrations?|afterword|table of contents|contents|credits|map|about the author|translator'?s note|author'?s note|promo|bonus)\b"
 
 
-def distinct_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs once each (repeated rows are exact copies), with the joined text of their runs where `text` is null."""
+def paragraph_rows(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs with the joined text of their runs where `text` is null; repeated rows stay."""
     joined = F.array_join(F.transform("runs", lambda r: F.coalesce(r["text"], F.lit(""))), "")
-    cols = ["doc_id", "pos", "paragraph_id", "idref", "heading_level", "all_bold"]
-    return paragraphs.select(*cols, F.coalesce("text", joined, F.lit("")).alias("text")).distinct()
+    return paragraphs.select("doc_id", "pos", "paragraph_id", "idref", "heading_level", "all_bold", F.coalesce("text", joined, F.lit("")).alias("text"))
+
+
+def distinct_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """paragraph_rows once each; repeated rows are exact copies."""
+    return paragraph_rows(paragraphs).distinct()
 
 
 def split_by_headings(paragraphs: DataFrame, doc_title: Column | None = None) -> DataFrame:
@@ -29,15 +33,16 @@ def split_by_headings(paragraphs: DataFrame, doc_title: Column | None = None) ->
     chapter. What stands before the first heading is a chapter with the document's title; without headings all is one chapter.
     """
     heading = F.col("heading_level").isNotNull()
-    marked = running_total(paragraphs, ["doc_id"], "pos", heading.cast("int"), "group")
-    heads = marked.where(heading).groupBy("doc_id", "group").agg(F.max_by("text", "pos").alias("title"))
-    body = marked.where(~heading)
-    sizes = body.groupBy("doc_id", "group").agg(F.count("*").alias("n"))
-    numbers = sizes.select("doc_id", "group", F.row_number().over(Window.partitionBy("doc_id").orderBy("group")).alias("chapter_no"))
-    named = numbers.join(heads, ["doc_id", "group"], "left")
-    named = named.withColumn("title", F.coalesce("title", doc_title if doc_title is not None else F.col("doc_id"))).withColumnRenamed("doc_id", "d").withColumnRenamed("group", "g")
-    joined = body.join(named, (body.doc_id == named.d) & (body.group == named.g))
-    return joined.select("doc_id", "chapter_no", "title", "pos", "paragraph_id", "text")
+    # chapters are found on positions and headings alone; the texts of the body meet them once
+    slim = paragraphs.select("doc_id", "pos", heading.cast("int").alias("h"), F.when(heading, F.col("text")).alias("t")).distinct()
+    marked = running_total(slim, ["doc_id"], "pos", F.col("h"), "group")
+    heads = marked.where("h = 1").groupBy("doc_id", "group").agg(F.max_by("t", "pos").alias("title"))
+    places = marked.where("h = 0").select("doc_id", "pos", "group")
+    numbers = places.groupBy("doc_id", "group").agg(F.min("pos").alias("start")).select("doc_id", "group", F.row_number().over(Window.partitionBy("doc_id").orderBy("group")).alias("chapter_no"))
+    named = numbers.join(heads, ["doc_id", "group"], "left").withColumn("title", F.coalesce("title", doc_title if doc_title is not None else F.col("doc_id")))
+    body = paragraphs.where(~heading).select("doc_id", "pos", "paragraph_id", "text").distinct()
+    placed = places.join(named, ["doc_id", "group"]).drop("group")
+    return body.join(placed, ["doc_id", "pos"]).select("doc_id", "chapter_no", "title", "pos", "paragraph_id", "text")
 
 
 def classify_spine(paragraphs: DataFrame) -> DataFrame:

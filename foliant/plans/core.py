@@ -34,7 +34,7 @@ def q01_paragraph_tokens(spark, sf):
 
 def q02_greedy_chunks(spark, sf):
     ship_package(spark)
-    chapters = structure.split_by_headings(_paragraphs(spark, sf))
+    chapters = structure.split_by_headings(structure.paragraph_rows(table(spark, sf, "paragraphs")))
     packed = chunking.pack(chapters, PACK_LIMIT)
     return packed.select("doc_id", F.col("chapter_no").cast("int").alias("chapter_no"), "chunk_no", F.size("paragraph_ids").alias("n_paragraphs"), "estimated_tokens", F.md5("text").alias("text_md5"))
 
@@ -77,7 +77,7 @@ def q09_usage(spark, sf):
 
 
 def q10_heading_chapters(spark, sf):
-    rows = structure.split_by_headings(_paragraphs(spark, sf))
+    rows = structure.split_by_headings(structure.paragraph_rows(table(spark, sf, "paragraphs")))
     return rows.groupBy("doc_id", "chapter_no").agg(F.first("title").alias("title"), F.count("*").alias("n_paragraphs"), F.min("pos").alias("start"))
 
 
