@@ -110,8 +110,9 @@ def media_type(name: Column | str) -> Column:
 
 
 def safe_title(c: Column | str) -> Column:
-    """A title as a file name: characters that file systems refuse become spaces, at most 80 characters."""
-    return F.substring(strip(collapse(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]', " "))), 1, 80)
+    """A title as a file name: characters that file systems refuse become spaces; `novel` where nothing is left."""
+    out = strip(collapse(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]+', " ")))
+    return F.when(out == "", "novel").otherwise(out)
 
 
 def label_title(title: Column) -> Column:

@@ -10,8 +10,9 @@ from foliant.operators.prefix import running_total
 
 # Patterns that decide the kind of a document or title.
 CHAPTER_MARKER = r"(?i)^\s*(chapter|chap\.|prologue|epilogue|appendix|part)\b"
+CHAPTER_TITLE = r"(?i)^(Chapter|Extra Chapter)\b"
 TOC_MARKERS = ("toc", "contents", "tableofcontents", "daftarisi")
-TOC_TITLES = ("contents", "table of contents", "toc", "daftar isi", "isi", "index")
+TOC_TITLES = ("contents", "table of contents", "toc", "daftar isi", "isi", "daftar kandungan")
 NON_STORY = r"(?i)\b(cover|sampul|title page|copyright|colou?r gallery|illustrations?|afterword|table of contents|contents|credits|map|about the author|translator'?s note|author'?s note|promo|bonus)\b"
 
 
@@ -72,14 +73,14 @@ def is_toc(title: Column, idref: Column) -> Column:
 
 def split_by_spine(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, chapter_no, idref, title, n_paragraphs): chapters of a spine, dense over those that are neither front matter nor a
-    table of contents; title: first heading, else first text with a chapter marker, else first text cut at 60 characters."""
+    table of contents; title: first heading, else first text that begins like a chapter's title, else first text cut at 60 characters."""
     first = lambda cond: F.min_by(F.when(cond, T.strip("text")), F.when(cond, F.col("pos")))
     filled = T.strip("text") != ""
     per = paragraphs.where(F.col("idref").isNotNull()).groupBy("doc_id", "idref").agg(
         F.min("pos").alias("start"), first(F.col("heading_level").isNotNull() & filled).alias("heading"),
-        first(T.strip("text").rlike(CHAPTER_MARKER)).alias("marker"), first(filled).alias("opening"), F.count("*").alias("n"))
-    cut = F.when(F.length("opening") > 60, F.concat(F.substring("opening", 1, 60), F.lit("…"))).otherwise(F.col("opening"))
-    kept = per.join(classify_spine(paragraphs), ["doc_id", "idref"]).withColumn("title", F.coalesce("heading", "marker", cut, F.lit("untitled")))
+        first(T.strip("text").rlike(CHAPTER_TITLE)).alias("marker"), first(filled).alias("opening"), F.count("*").alias("n"))
+    cut = F.when(F.length("opening") > 60, F.concat(F.regexp_replace(F.substring("opening", 1, 60), r"(?U)\s+$", ""), F.lit("…"))).otherwise(F.col("opening"))
+    kept = per.join(classify_spine(paragraphs), ["doc_id", "idref"]).withColumn("title", F.coalesce("heading", "marker", cut, F.lit("Untitled Chapter")))
     kept = kept.where((F.col("classification") != "front_matter") & ~is_toc(F.col("title"), F.col("idref")))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "idref"))
     return kept.select("doc_id", number.alias("chapter_no"), "idref", "title", (F.col("n") - F.when(F.col("heading").isNotNull(), 1).otherwise(0)).cast("int").alias("n_paragraphs"))

@@ -94,7 +94,7 @@ sp AS (SELECT doc_id, idref, count(*) AS n, count(*) FILTER (s <> '') AS filled,
   count(*) FILTER (regexp_matches(s, '^\s*(chapter|chap\.|prologue|epilogue|appendix|part)\b', 'i')) AS markers,
   count(*) FILTER (s <> '' AND NOT coalesce(all_bold AND heading_level IS NULL, false)) AS plain, sum(CASE WHEN s <> '' THEN length(s) + 1 ELSE 0 END) AS chars,
   min(pos) AS start, arg_min(s, pos) FILTER (heading_level IS NOT NULL AND s <> '') AS heading,
-  arg_min(s, pos) FILTER (regexp_matches(s, '^\s*(chapter|chap\.|prologue|epilogue|appendix|part)\b', 'i')) AS marker, arg_min(s, pos) FILTER (s <> '') AS opening FROM q GROUP BY doc_id, idref),
+  arg_min(s, pos) FILTER (regexp_matches(s, '^(Chapter|Extra Chapter)\b', 'i')) AS marker, arg_min(s, pos) FILTER (s <> '') AS opening FROM q GROUP BY doc_id, idref),
 k AS (SELECT *, headings = 0 AND markers = 0 AND n <= 8 AND filled > 0 AND plain = 0 AND chars - 1 <= 500 AS front, headings > 0 OR markers > 0 AS sure FROM sp)"""
 
 _ENGLISH = "'the','and','you','that','this','what','is','are','was','to','of','it','my','me','your','with','for','not','but','just','so','want','how','can','be','do','i'"
@@ -203,9 +203,9 @@ SELECT entity_id, '"' || canonical_name || '"' || coalesce(' ' || CASE entity_ty
 WITH {_SPINE} SELECT doc_id, idref, CASE WHEN front THEN 'front_matter' WHEN sure OR n > 8 THEN 'chapter' ELSE 'ambiguous' END AS classification,
   CAST(CASE WHEN front OR sure THEN 0.95 WHEN n > 8 THEN 0.85 ELSE 0.5 END AS DOUBLE) AS confidence FROM k""",
     "q28_spine_chapters": f"""
-WITH {_SPINE}, y AS (SELECT *, coalesce(heading, marker, CASE WHEN length(opening) > 60 THEN opening[1:60] || '…' ELSE opening END, 'untitled') AS title FROM k WHERE NOT front)
+WITH {_SPINE}, y AS (SELECT *, coalesce(heading, marker, CASE WHEN length(opening) > 60 THEN rtrim(opening[1:60]) || '…' ELSE opening END, 'Untitled Chapter') AS title FROM k WHERE NOT front)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, idref) AS INTEGER) AS chapter_no, idref, title, CAST(n - CASE WHEN heading IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_paragraphs
-FROM y WHERE {_norm('title')} NOT IN ('contents', 'table of contents', 'toc', 'daftar isi', 'isi', 'index') AND NOT regexp_matches(lower(idref), 'toc|contents|tableofcontents|daftarisi')""",
+FROM y WHERE {_norm('title')} NOT IN ('contents', 'table of contents', 'toc', 'daftar isi', 'isi', 'daftar kandungan') AND NOT regexp_matches(lower(idref), 'toc|contents|tableofcontents|daftarisi')""",
     "q29_story_flags": f"""
 WITH {_HEADINGS}, t AS (SELECT doc_id, chapter_no, any_value(title) AS title FROM ch GROUP BY doc_id, chapter_no),
 f AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(doc_id), '[^a-z0-9]', '', 'g') AS b FROM t),

@@ -155,3 +155,9 @@ def test_rollup_counts_misses_only(spark):
 @pytest.mark.parametrize("status,selected,want", [("completed", True, "restore"), ("in_progress", True, "translate"), ("not_started", False, "skip")])
 def test_action(spark, status, selected, want):
     assert spark.range(1).select(progress.action(F.lit(selected), F.lit(status))).first()[0] == want
+
+
+def test_failure_reasons(spark):
+    lines = ["start", "gagal early", "[1/2] Chapter: One ", "ok", "WARNING a", "  chunk GAGAL b ", "[2/2] Chapter: Two", "fine"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+    assert [tuple(r) for r in progress.failure_reasons(df).collect()] == [("One", "chunk GAGAL b")]

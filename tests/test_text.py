@@ -45,6 +45,10 @@ def test_paths_json_titles_backoff(spark):
     assert values(spark, ["a.PNG", "b.jpeg", "c"], T.media_type("a")) == ["image/png", "image/jpeg", "application/octet-stream"]
 
 
+def test_safe_titles(spark):
+    assert values(spark, ['a: "b" / c', " ?* "], T.safe_title("a")) == ["a b c", "novel"]
+
+
 def test_ranges(spark):
     assert values(spark, ["3", "2-5", "2,5,7-8", "8-2", "x", ""], structure.parse_ranges(F.col("a"))) == [[3], [2, 3, 4, 5], [2, 5, 7, 8], None, None, None]
 
