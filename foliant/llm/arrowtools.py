@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of one Arrow batch that an operator holds in Python at once.
-BATCH_ROWS = 2000
+#: Rows, and bytes on average, of the slice of an Arrow batch that an operator works on at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 2_000_000
 
 
 def int_lists(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -19,13 +19,22 @@ def int_lists(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES, so memory does not follow the session's batch size."""
+    if not b.num_rows:
+        return
+    rows = max(1, min(BATCH_ROWS, int(BATCH_BYTES * b.num_rows / max(b.nbytes, 1))))
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over slices of at most BATCH_ROWS rows, so memory does not follow the batch size of the session."""
+    """mapInArrow, a slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                out = fn(b.slice(at, BATCH_ROWS))
+        for whole in batches:
+            for b in slices(whole):
+                out = fn(b)
                 if out is not None and out.num_rows:
                     yield out
 
