@@ -29,7 +29,22 @@ ORDER, SAMPLE_DOCS, MIN_WORDS, MIN_CHARS = 4, 500, 4, 9
 #: in nats, which leaves room for other subjects than the sample's.
 HELD_OUT, REJECT, MARGIN = 5, 1.5, 3.4
 #: Confidence below which a sentence has no language.
-SURE = 0.9
+SURE = 0.95
+#: What models say beside a translation; documents hardly have such sentences, so they join the sample of their language.
+ASIDES = {
+    "en": (
+        "I'm sorry, but I cannot help with this request because it may contain harmful content.", "Unfortunately, I am unable to process this text at this time.", "I apologize, but I can't translate this passage.",
+        "Please send a different text. Let me know if there is anything else you need. I can offer a short summary instead.", "No translation available for this input. Error: the content was blocked.",
+        "I won't be able to provide a translation of this chapter as it goes against the usage guidelines.", "Here is the translation. Translate the following text into Indonesian. Translation of the passage follows.",
+        "Note: this chapter describes something that I would rather not continue with. It looks like protected material.",
+    ),
+    "id": (
+        "Maaf, saya tidak dapat menerjemahkan bagian ini karena isinya mungkin berbahaya.", "Sayangnya, saya belum mampu membantu permintaan ini untuk saat ini.", "Sebagai model bahasa, saya tidak bisa memproses teks tersebut.",
+        "Silakan kirim teks lain. Beri tahu saya jika ada hal lain yang diperlukan. Saya dapat membuat ringkasan singkat saja.", "Terjemahan tidak tersedia untuk masukan ini. Permintaan ditolak oleh sistem.",
+        "Mohon maaf, saya harus menolak menerjemahkan bab ini sebab melanggar pedoman penggunaan. Teksnya tampak dilindungi.", "Konten ini tidak boleh diproses. Berikut terjemahannya.",
+        "Catatan penerjemah: istilah ini tidak punya padanan yang tepat. Bagian ini diterjemahkan secara bebas. Nama asli tetap dipakai di sini.", "Dengan berat hati terjemahannya tidak saya lanjutkan.",
+    ),
+}
 #: Characters scored at once.
 SLICE = 400_000
 
@@ -110,7 +125,7 @@ class LanguageModels:
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         self.script = np.array([np.bincount(_SCRIPT[_codes("".join(samples[l]))], minlength=5)[1:].argmax() + 1 for l in self.langs])
-        fit = {l: [t for i, t in enumerate(samples[l]) if i % HELD_OUT] or samples[l] for l in self.langs}
+        fit = {l: [*([t for i, t in enumerate(samples[l]) if i % HELD_OUT] or samples[l]), *ASIDES.get(l, ())] for l in self.langs}
         self._fit([_PLAIN[_codes("   " + "   ".join(fit[l]) + " ")] for l in self.langs])
         self.limit = np.full(len(self.langs), np.inf)
         for j, l in enumerate(self.langs):
