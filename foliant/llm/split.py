@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import BROADCAST_LIMIT, plan_bytes
-
 _ATOM = re.compile(r"\s*\S+\s*|\s+")
 _CLOSERS = "\"'”’»)]}」』"
 _PARAGRAPH, _SENTENCE, _CLAUSE, _WORD, _INSIDE = 4, 3, 2, 1, 0
 
+#: Kinds of items, which bounds the settings that go to every executor.
+MOST_KINDS = 1000
+
 PIECES = "item_kind string, item_id string, piece_no int, n_pieces int, start int, overlap_chars int, estimated_tokens int, text string"
 
 
@@ -100,7 +101,7 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     `limits` has one row a kind. Columns of the result: item_kind, item_id, piece_no (from 0), n_pieces, start (of the piece's own
     part in the item), overlap_chars (repeated from the piece before), estimated_tokens, text.
     """
-    if plan_bytes(limits) > BROADCAST_LIMIT:
+    if limits.select("item_kind").distinct().limit(MOST_KINDS + 1).count() > MOST_KINDS:
         raise ValueError("limits are a table of settings, one row a kind")
     bound = limits.groupBy("item_kind").agg(F.min("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
     rows = items.select("item_kind", "item_id", "text").where(F.length("text") > 0).join(F.broadcast(bound), "item_kind", "left")
