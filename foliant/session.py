@@ -70,11 +70,6 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(str(to))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of a plan's result as the optimizer estimates it; used to choose between broadcast and shuffle."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def width(spark: SparkSession) -> int:
     """Tasks worth giving to a CPU-bound stage over a small input."""
     return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
