@@ -1,10 +1,11 @@
 """Evaluation texts that leaked into documents, by greedy string tiling.
 
 Both sides become words: lower case, without marks and punctuation; scripts without spaces give one word a character. Runs of SEED
-words that a document shares with an item join the two through a sorted index of the items' runs. A pair is followed up when the
-seeds on its densest diagonals, beyond what one stock sentence gives, could make up a passage. Then running Karp-Rabin matching
-repeatedly marks the longest common runs that do not overlap, whatever their order, and the pair counts when the runs that lie
-together in the document cover at least COVERAGE of the item's words (a changed word between two runs counts as covered).
+words that a document shares with an item join the two through a sorted index of the items' runs. A pair is followed up unless the
+item's words that its seeds in one stretch of the document have, with all gaps between them that may count, are too few: a bound that
+no case can miss. Then running Karp-Rabin matching repeatedly marks the longest common runs that do not overlap, whatever their
+order, and the pair counts when the runs that lie together in the document cover at least COVERAGE of the item's words (a changed word
+between two runs counts as covered, as long as LIGHT of the words are kept).
 
 The items' index is sent to the executors in blocks of at most BROADCAST_LIMIT bytes of text; each block is one pass over the
 documents, so more items cost passes and never memory. Documents are not shuffled, and no pair within a group is emitted.
@@ -28,10 +29,13 @@ from foliant.llm.arrowtools import map_batches
 from foliant.session import BROADCAST_LIMIT
 
 SEED, MIN_WORDS, COVERAGE, GAP = 3, 5, 0.39, 4
-#: Width of a bundle of diagonals, and the seeds on one that a stock sentence may give.
-BAND, STOCK = 12, 4
+#: Share of a passage's words that light edits keep.
+LIGHT = 0.75
 #: Words of a chain that is no stock phrase.
 LONG = 14
+#: Words from one seed to the next: at most in a document within one stretch, where chains end up to two words past their tiles' ends and an edit
+#: further; and as many as may count in an item, where a gap counts up to GAP words and a chain's end up to SEED words past its tile.
+APART, WITHIN = SEED + 2 * GAP + 2 * SEED, SEED + max(GAP, 2 * SEED)
 
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 
@@ -47,9 +51,23 @@ def words(text: str | None) -> list[str]:
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word arrays: (start in a, start in b, length) of the marked runs."""
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     x, y = a.tolist(), b.tolist()
     out: list[tuple[int, int, int]] = []
+    # words outside runs of `least` that both sides have are in no tile, and no tile is longer than such runs in a row
+    in_x, in_y = (list(zip(*(v[k:] for k in range(least)))) for v in (x, y))
+    common = set(in_x) & set(in_y)
+    if not common:
+        return out
+    free_a, free_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    longest_a = row = 0
+    for i, w in enumerate(in_x):
+        row = row + 1 if w in common else 0
+        if row:
+            free_a[i : i + least] = True
+            longest_a = max(longest_a, row + least - 1)
+    for j, w in enumerate(in_y):
+        if w in common:
+            free_b[j : j + least] = True
 
     def windows(v: list[int], free: np.ndarray, s: int):
         """(start, rolling hash) of each run of s free words."""
@@ -67,6 +85,9 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
 
     s = max(least, min(len(x), len(y)) // 2)
     while True:
+        if s > longest_a and s > least:
+            s = s // 2 if s > 2 * least else least
+            continue
         table = defaultdict(list)
         for j, h in windows(y, free_b, s):
             table[h].append(j)
@@ -94,24 +115,59 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
             return out
 
 
-def covered(run: list[tuple[int, int, int]]) -> int:
+def beyond(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
+    """(words of x, words of y, equal words) past an end of a chain: one changed, inserted or dropped word and the one or two equal ones behind it."""
+    best = (0, 0, 0)
+    for dx, dy in ((1, 1), (1, 0), (0, 1)):
+        n = 0
+        while n < SEED - 1 and 0 <= (u := i + step * (dx + n)) < len(x) and 0 <= (v := j + step * (dy + n)) < len(y) and x[u] == y[v]:
+            n += 1
+        if n > best[2]:
+            best = (dx + n, dy + n, n)
+    return best
+
+
+def stretch(chain: list[tuple[int, int, int]], x: list[int], y: list[int]) -> tuple[int, int, int, int] | None:
+    """(start in x, end in x, start in y, end in y) of the longest part of a chain of tiles that is a lightly edited quote."""
+    kept = [0]
+    for *_, k in chain:
+        kept.append(kept[-1] + k)
+    before, after = [beyond(x, y, i - 1, j - 1, -1) for i, j, _ in chain], [beyond(x, y, i + k, j + k, 1) for i, j, k in chain]
+    best = None
+    for p, (i, j, _) in enumerate(chain):
+        for q in range(len(chain) - 1, p - 1, -1):
+            i2, j2, k2 = chain[q]
+            for f in {before[p], (0, 0, 0)}:
+                for g in {after[q], (0, 0, 0)}:
+                    at = (i - f[0], i2 + k2 + g[0], j - f[1], j2 + k2 + g[1])
+                    n, equal = at[3] - at[2], kept[q + 1] - kept[p] + f[2] + g[2]
+                    if equal >= LIGHT * max(n, at[1] - at[0]) and (equal > MIN_WORDS or n == len(y)) and (best is None or n > best[3] - best[2]):
+                        best = at
+    return best
+
+
+def covered(run: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> int:
     """The most words of b that one stretch of a covers.
 
     Tiles that follow each other in both texts with at most GAP words between form a chain, whose changed words count as covered.
     Chains of LONG words or more that lie together in a count as one stretch whatever their order in b (reordered passages); shorter
     ones out of order are stock phrases.
     """
-    chains: list[list[int]] = []  # [start in a, end in a, end in b, words]
+    x, y = a.tolist(), b.tolist()
+    chains: list[list[tuple[int, int, int]]] = []
     for i, j, k in sorted(run):
-        if chains and 0 <= i - chains[-1][1] <= GAP and 0 <= (gap := j - chains[-1][2]) <= GAP:
-            chains[-1][1:] = [i + k, j + k, chains[-1][3] + gap + k]
+        if chains and 0 <= i - sum(chains[-1][-1][::2]) <= GAP and 0 <= j - sum(chains[-1][-1][1:]) <= GAP:
+            chains[-1].append((i, j, k))
         else:
-            chains.append([i, i + k, j + k, k])
-    best, now, end = max((c[3] for c in chains), default=0), 0, None
-    for c in chains:
-        if c[3] >= LONG:
-            now = now + c[3] if end is not None and c[0] - end <= 2 * GAP else c[3]
-            best, end = max(best, now), c[1]
+            chains.append([(i, j, k)])
+    best, seen, end = 0, set(), None
+    for c in sorted(filter(None, (stretch(c, x, y) for c in chains))):
+        best = max(best, c[3] - c[2])
+        if c[3] - c[2] >= LONG:
+            if end is None or c[0] - end > 2 * GAP:
+                seen = set()
+            seen |= set(range(c[2], c[3]))
+            best, end = max(best, len(seen)), c[1]
     return best
 
 
@@ -176,17 +232,34 @@ class ItemIndex:
         row = np.repeat(np.arange(len(k)), n)
         post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
         item, ipos = self.item[post], self.pos[post]
-        band = (at[row] - start[doc[row]] - ipos + (1 << 20)) // BAND
         pair = doc[row] * len(self.ids) + item
-        _, one, counts = np.unique(pair * (1 << 30) + band, return_index=True, return_counts=True)
-        pair, counts = pair[one], np.maximum(counts - STOCK, 0)
-        pairs, to = np.unique(pair, return_inverse=True)
-        strong = np.bincount(to, weights=counts)
-        size = self.length[pairs % len(self.ids)]
+        # seeds of a pair that lie together, as far apart as tiles of one stretch may be
+        order = np.argsort(pair, kind="stable")
+        pair, ipos, place = pair[order], ipos[order], at[row][order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (place[1:] - place[:-1] > APART)
+        group = np.cumsum(new) - 1
+        pair = pair[new]
+        # the most words of the item that they may cover: their own, those of gaps, and those past the ends of chains
+        seed = np.unique((group << 32) + ipos)
+        group, ipos = seed >> 32, seed & 0xFFFFFFFF
+        new = np.ones(len(seed), bool)
+        new[1:] = group[1:] != group[:-1]
+        size = self.length[pair % len(self.ids)]
+        own = np.minimum(np.diff(ipos, prepend=0), SEED)
+        own[new] = SEED
+        step = np.minimum(np.diff(ipos, prepend=0), WITHIN)
+        step[new] = np.minimum(ipos[new], SEED)
+        last = ipos[np.append(np.flatnonzero(new)[1:], len(seed)) - 1]
+        most = np.add.reduceat(step, np.flatnonzero(new)) + SEED + np.minimum(size - SEED - last, SEED)
+        # the words that a stretch of that many keeps, but for SEED - 1 past either end of a chain
+        least = np.maximum(MIN_WORDS + 1, COVERAGE * size)
+        kept = np.where(least < LONG, LIGHT * least - 2 * (SEED - 1), (LIGHT - 2 * (SEED - 1) / LONG) * least)
+        pairs = np.unique(pair[(most >= least) & (np.add.reduceat(own, np.flatnonzero(new)) >= kept - 1e-6)])
         out = []
-        for p in pairs[strong >= np.maximum(1, 0.12 * size)].tolist():
+        for p in pairs.tolist():
             d, i = divmod(p, len(self.ids))
-            most = covered(tiles(docs[d], self.items[i], SEED))
+            most = covered(tiles(docs[d], self.items[i], SEED), docs[d], self.items[i])
             if most > MIN_WORDS and most >= COVERAGE * len(self.items[i]):
                 out.append((d, i))
         return out

@@ -28,6 +28,22 @@ def test_whole_partial_edited_and_reordered_passages():
     assert found(texts) == {0, 1, 2, 3, 4}
 
 
+def test_short_items_and_edits_across_diagonals():
+    for n in range(6, 21):
+        item = ITEM[:n]
+        part = max(6, -(-2 * n // 5))
+        changed = [[*item[:k], "changed", *item[k + 1 :]] for k in range(n)] if n > 6 else []
+        assert found([doc(x) for x in (item, item[:part], item[-part:], *changed)], " ".join(item)) == set(range(3 + len(changed))), n
+        assert not found([doc(item[:5]), doc([*item[:5], "changed"])], " ".join(item)) if n > 6 else True
+    rng = random.Random(5)
+    for before in range(24):  # 18 of 43 words, two changed and one inserted
+        a, b, c = sorted(rng.sample(range(3, 16, 4), 3))
+        q = ITEM[12:30]
+        q[a], q[b] = "one", "two"
+        assert found([doc([*q[:c], "more", *q[c:]], before)], " ".join(ITEM[:43])) == {0}
+    assert not found([doc([w for k in range(0, 35, 7) for w in (*ITEM[k : k + 3], "a", "b", "c", "d")])], " ".join(ITEM[:40]))  # a template, not light edits
+
+
 def test_marks_and_scripts():
     item = "Café národní divadlo stál úplně prázdné a tiché v noci"
     assert found(["... cafe narodni divadlo stal uplne prazdne a tiche v noci ..."], item) == {0}
