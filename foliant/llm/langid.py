@@ -1,7 +1,8 @@
 """Language of texts and of their segments, by interpolated Kneser-Ney character models in sorted hash arrays.
 
 One model of character n-grams up to ORDER for each language is fitted on a bounded sample of labelled documents (about
-SAMPLE_DOCS a language, chosen by a hash of their ids; the bound holds at every corpus size). All languages share one sorted array
+SAMPLE_DOCS and at most SAMPLE_BYTES a language, of documents of at most LONGEST bytes, chosen by a hash of their ids; the bound holds
+at every corpus size and is the only one: every item is scored whole). All languages share one sorted array
 of n-gram hashes an order, with a row of log-probabilities beside each key, so one binary search scores a character under every
 language. A text is cut at sentence ends and line breaks; each sentence takes the language of the lowest length-normalised
 cross-entropy, unless that lies outside what held-out sentences of the language reach (rejection) or the sentence is shorter than
@@ -15,6 +16,7 @@ count once.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.arrowtools import map_batches
 
-ORDER, SAMPLE_DOCS, MIN_WORDS, MIN_CHARS = 4, 500, 4, 9
+ORDER, MIN_WORDS, MIN_CHARS = 4, 4, 9
+#: Bounds of the sample that the models are fitted on, a language: documents, bytes, and bytes of one document.
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 500, 4_000_000, 400_000
 #: One in so many sampled texts is held out for calibration; a sentence is rejected above so many times the held-out mean plus a margin
 #: in nats, which leaves room for other subjects than the sample's.
 HELD_OUT, REJECT, MARGIN = 5, 1.5, 3.4
@@ -62,9 +66,25 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _PLAIN, _WORDY, _SCRIPT = _tables()
 
 
+def _beyond() -> np.ndarray:
+    """Stand-ins in the first plane for the second: what a mathematical or enclosed letter is a form of, else a blank."""
+    out = np.full(65536, 32, np.uint32)
+    for c in range(0x1D400, 0x1F200):
+        plain = unicodedata.normalize("NFKC", chr(c))
+        if len(plain) == 1 and ord(plain) < 65536:
+            out[c - 65536] = ord(plain)
+    return out
+
+
+_BEYOND = _beyond()
+
+
 def _codes(text: str) -> np.ndarray:
+    """Code points of the first plane: ideographs of later planes stand as the first of extension A, other characters as their plain form."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(c < 65536, c, 32)
+    if not len(c) or c.max() < 65536:
+        return c
+    return np.where(c < 65536, c, np.where(c < 131072, _BEYOND[c & 0xFFFF], 0x3400)).astype(np.uint32)
 
 
 def _hash(c: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -256,13 +276,14 @@ class LanguageModels:
         return out
 
 
-def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """About n whole documents of each language with a label, chosen by a hash of their ids."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang_of_label(F.col(lang_col)).alias("lang")).where("lang is not null and length(text) > 0")
-    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """About n whole documents and at most about `most` bytes of each language with a label, chosen by a hash of their ids."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang_of_label(F.col(lang_col)).alias("lang"))
+    rows = rows.where((F.octet_length("text") > 0) & (F.octet_length("text") <= LONGEST) & F.col("lang").isNotNull())
+    have = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language code
     part = F.lit(0)
-    for lang, count in have.items():
-        part = F.when(F.col("lang") == lang, int(min(1.0, n / count) * 1_000_000)).otherwise(part)
+    for r in have:
+        part = F.when(F.col("lang") == r["lang"], int(min(1.0, n / r["n"], most / r["bytes"]) * 1_000_000)).otherwise(part)
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("lang", "text").toPandas()
     return {lang: sorted(g["text"]) for lang, g in chosen.groupby("lang")}
 
@@ -273,9 +294,6 @@ def lang_of_label(label: Column) -> Column:
     return F.when(first == "", None).otherwise(first)
 
 
-_held: list[LanguageModels] = []
-
-
 def fit(docs: DataFrame):
     """The models, broadcast: their size is bounded by the sample's."""
     return docs.sparkSession.sparkContext.broadcast(LanguageModels(sample_documents(docs)))
