@@ -7,8 +7,8 @@ no case can miss. Then running Karp-Rabin matching repeatedly marks the longest
 order, and the pair counts when the runs that lie together in the document cover at least COVERAGE of the item's words (a changed word
 between two runs counts as covered, as long as LIGHT of the words are kept).
 
-The items' index is sent to the executors in blocks of at most BROADCAST_LIMIT bytes of text; each block is one pass over the
-documents, so more items cost passes and never memory. Documents are not shuffled, and no pair within a group is emitted.
+The items' index is sent to the executors in blocks of at most INDEX_LIMIT bytes of text, as an index takes several times its text;
+each block is one pass over the documents, so more items cost passes and never memory. Documents are not shuffled, and no pair within a group is emitted.
 
 Defined results: null and empty documents and items, and items of MIN_WORDS words or fewer, are in no pair; repeated rows and
 several passages of one item in a document give one row; a document that quotes MIN_WORDS words or fewer is no case.
@@ -17,6 +17,7 @@ several passages of one item in a document give one row; a document that quotes
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 
@@ -29,15 +30,19 @@ from foliant.llm.arrowtools import map_batches
 from foliant.session import BROADCAST_LIMIT
 
 SEED, MIN_WORDS, COVERAGE, GAP = 3, 5, 0.39, 4
+#: Bytes of item text in one index.
+INDEX_LIMIT = BROADCAST_LIMIT // 8
 #: Share of a passage's words that light edits keep.
 LIGHT = 0.75
-#: Words of a chain that is no stock phrase.
-LONG = 14
+#: Words of a block that may stand out of order with as many edits as LIGHT allows; a shorter one has at most one edit in DENSE words.
+LONG, DENSE = 14, 12
 #: Words from one seed to the next: at most in a document within one stretch, where chains end up to two words past their tiles' ends and an edit
 #: further; and as many as may count in an item, where a gap counts up to GAP words and a chain's end up to SEED words past its tile.
 APART, WITHIN = SEED + 2 * GAP + 2 * SEED, SEED + max(GAP, 2 * SEED)
 
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
+#: Combining marks and invisible characters, which words go without.
+_MARKS = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))} | set("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
 
 def words(text: str | None) -> list[str]:
@@ -45,7 +50,8 @@ def words(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c) and c not in "\u00ad\u200b\u200c\u200d\u2060\ufeff")
+        for c in _MARKS.intersection(text):
+            text = text.replace(c, "")
     return _WORD.findall(text.lower())
 
 
@@ -54,34 +60,36 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
     x, y = a.tolist(), b.tolist()
     out: list[tuple[int, int, int]] = []
     # words outside runs of `least` that both sides have are in no tile, and no tile is longer than such runs in a row
-    in_x, in_y = (list(zip(*(v[k:] for k in range(least)))) for v in (x, y))
+    in_x, in_y = list(zip(*[x[k:] for k in range(least)])), list(zip(*[y[k:] for k in range(least)]))
     common = set(in_x) & set(in_y)
     if not common:
         return out
-    free_a, free_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    free_a, free_b = bytearray(len(x)), bytearray(len(y))
     longest_a = row = 0
     for i, w in enumerate(in_x):
         row = row + 1 if w in common else 0
         if row:
-            free_a[i : i + least] = True
+            free_a[i : i + least] = b"\1" * least
             longest_a = max(longest_a, row + least - 1)
     for j, w in enumerate(in_y):
         if w in common:
-            free_b[j : j + least] = True
+            free_b[j : j + least] = b"\1" * least
 
-    def windows(v: list[int], free: np.ndarray, s: int):
+    def windows(v: list[int], free: bytearray, s: int):
         """(start, rolling hash) of each run of s free words."""
         base, mod = 1_000_003, (1 << 61) - 1
-        top, h, n = pow(base, s, mod), 0, 0
-        for i, w in enumerate(v):
-            if not free[i]:
-                h = n = 0
-                continue
-            h, n = (h * base + w + 1) % mod, n + 1
-            if n > s:
-                h = (h - (v[i - s] + 1) * top) % mod
-            if n >= s:
+        top, at, run = pow(base, s, mod), 0, b"\1" * s
+        while (at := free.find(run, at)) >= 0:
+            end = free.find(0, at)
+            end = len(v) if end < 0 else end
+            h = 0
+            for w in v[at : at + s]:
+                h = (h * base + w + 1) % mod
+            yield at, h
+            for i in range(at + s, end):
+                h = (h * base + v[i] + 1 - (v[i - s] + 1) * top) % mod
                 yield i - s + 1, h
+            at = end
 
     s = max(least, min(len(x), len(y)) // 2)
     while True:
@@ -92,21 +100,22 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
         for j, h in windows(y, free_b, s):
             table[h].append(j)
         found, longest = [], 0
-        for i, h in windows(x, free_a, s):
+        for i, h in windows(x, free_a, s) if table else ():
             for j in table.get(h, ()):
-                k = 0
-                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k] and free_a[i + k] and free_b[j + k]:
+                if x[i : i + s] != y[j : j + s]:
+                    continue
+                k, most = s, min(len(x) - i, len(y) - j)
+                while k < most and x[i + k] == y[j + k] and free_a[i + k] and free_b[j + k]:
                     k += 1
-                if k >= s:
-                    found.append((k, i, j))
-                    longest = max(longest, k)
+                found.append((k, i, j))
+                longest = max(longest, k)
         if longest > 2 * s:
             s = longest
             continue
         for k, i, j in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if free_a[i : i + k].all() and free_b[j : j + k].all():
+            if 0 not in free_a[i : i + k] and 0 not in free_b[j : j + k]:
                 out.append((i, j, k))
-                free_a[i : i + k] = free_b[j : j + k] = False
+                free_a[i : i + k] = free_b[j : j + k] = bytes(k)
         if s > 2 * least:
             s //= 2
         elif s > least:
@@ -127,31 +136,40 @@ def beyond(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int,
     return best
 
 
-def stretch(chain: list[tuple[int, int, int]], x: list[int], y: list[int]) -> tuple[int, int, int, int] | None:
-    """(start in x, end in x, start in y, end in y) of the longest part of a chain of tiles that is a lightly edited quote."""
+def stretches(chain: list[tuple[int, int, int]], x: list[int], y: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(start in x, end in x, start in y, end in y, equal words) of the parts of a chain of tiles that are lightly edited quotes, the longest first."""
     kept = [0]
     for *_, k in chain:
         kept.append(kept[-1] + k)
     before, after = [beyond(x, y, i - 1, j - 1, -1) for i, j, _ in chain], [beyond(x, y, i + k, j + k, 1) for i, j, k in chain]
-    best = None
-    for p, (i, j, _) in enumerate(chain):
-        for q in range(len(chain) - 1, p - 1, -1):
-            i2, j2, k2 = chain[q]
-            for f in {before[p], (0, 0, 0)}:
-                for g in {after[q], (0, 0, 0)}:
-                    at = (i - f[0], i2 + k2 + g[0], j - f[1], j2 + k2 + g[1])
-                    n, equal = at[3] - at[2], kept[q + 1] - kept[p] + f[2] + g[2]
-                    if equal >= LIGHT * max(n, at[1] - at[0]) and (equal > MIN_WORDS or n == len(y)) and (best is None or n > best[3] - best[2]):
-                        best = at
-    return best
+    out, todo = [], [(0, len(chain))]
+    while todo:
+        lo, hi = todo.pop()
+        best, part = None, None
+        for p in range(lo, hi):
+            i, j, _ = chain[p]
+            for q in range(hi - 1, p - 1, -1):
+                i2, j2, k2 = chain[q]
+                if best is not None and j2 + k2 - j + 2 * SEED <= best[3] - best[2]:
+                    break  # shorter than the best even with both its ends
+                for f in {before[p], (0, 0, 0)}:
+                    for g in {after[q], (0, 0, 0)}:
+                        at = (i - f[0], i2 + k2 + g[0], j - f[1], j2 + k2 + g[1])
+                        n, equal = at[3] - at[2], kept[q + 1] - kept[p] + f[2] + g[2]
+                        if equal >= LIGHT * max(n, at[1] - at[0]) and (equal > MIN_WORDS or n == len(y)) and (best is None or n > best[3] - best[2]):
+                            best, part = (*at, equal), (p, q)
+        if best is not None:
+            out.append(best)
+            todo += [(lo, part[0]), (part[1] + 1, hi)]
+    return out
 
 
 def covered(run: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> int:
     """The most words of b that one stretch of a covers.
 
     Tiles that follow each other in both texts with at most GAP words between form a chain, whose changed words count as covered.
-    Chains of LONG words or more that lie together in a count as one stretch whatever their order in b (reordered passages); shorter
-    ones out of order are stock phrases.
+    Blocks that lie together in a count as one stretch whatever their order in b (reordered passages), if each is a quote by itself:
+    more than MIN_WORDS words, with the fewer edits the shorter it is.
     """
     x, y = a.tolist(), b.tolist()
     chains: list[list[tuple[int, int, int]]] = []
@@ -161,13 +179,14 @@ def covered(run: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> in
         else:
             chains.append([(i, j, k)])
     best, seen, end = 0, set(), None
-    for c in sorted(filter(None, (stretch(c, x, y) for c in chains))):
-        best = max(best, c[3] - c[2])
-        if c[3] - c[2] >= LONG:
-            if end is None or c[0] - end > 2 * GAP:
+    for at, to, start, stop, equal in sorted(part for c in chains for part in stretches(c, x, y)):
+        n = stop - start
+        best = max(best, n)
+        if n >= LONG or (n > MIN_WORDS and max(n, to - at) - equal <= n // DENSE):
+            if end is None or at - end > 2 * GAP:
                 seen = set()
-            seen |= set(range(c[2], c[3]))
-            best, end = max(best, len(seen)), c[1]
+            seen |= set(range(start, stop))
+            best, end = max(best, len(seen)), to
     return best
 
 
@@ -241,7 +260,8 @@ class ItemIndex:
         group = np.cumsum(new) - 1
         pair = pair[new]
         # the most words of the item that they may cover: their own, those of gaps, and those past the ends of chains
-        seed = np.unique((group << 32) + ipos)
+        seed = np.sort((group << 32) + ipos)
+        seed = seed[np.append(True, seed[1:] != seed[:-1])]
         group, ipos = seed >> 32, seed & 0xFFFFFFFF
         new = np.ones(len(seed), bool)
         new[1:] = group[1:] != group[:-1]
@@ -265,7 +285,7 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BROADCAST_LIMIT) -> list[DataFrame]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = INDEX_LIMIT) -> list[DataFrame]:
     """The items in blocks of about `limit` bytes of text at most."""
     rows = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

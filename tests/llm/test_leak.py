@@ -97,3 +97,34 @@ def test_blocks_find_the_same(spark, monkeypatch):
     orig = leak.item_blocks
     monkeypatch.setattr(leak, "item_blocks", lambda *a: orig(*a, limit=300))
     assert sorted(map(tuple, leak.leaks(docs, items).collect())) == whole and len(whole) > 10
+
+
+def test_random_quotes_in_any_order_of_blocks_are_all_found():
+    """2,000 cases by definition: whole, partial, edited and reordered passages of items of 6 to 200 words."""
+    rng, missed, wrong = random.Random(11), [], []
+    for case in range(2000):
+        n = rng.choice([*range(6, 30), 40, 60, 90, 140, 200])
+        item = rng.sample(VOCAB, n)
+        least = max(6, -(-2 * n // 5))
+        kind = case % 4
+        if kind == 0:  # one stretch
+            m = rng.randrange(least, n + 1)
+            at = rng.randrange(n - m + 1)
+            quote = item[at : at + m]
+        elif kind == 1:  # blocks of more than five words in another order
+            size = rng.randrange(6, 14)
+            blocks = [item[i : i + size] for i in range(0, n - size + 1, size)] or [item]
+            while sum(map(len, blocks)) < least:
+                blocks = [item]
+            rng.shuffle(blocks)
+            quote = [w for b in blocks for w in b]
+        elif kind == 2:  # an edit every eight words or rarer, of the whole item
+            quote = list(item)
+            for i in range(rng.randrange(3, 8), n - 3, rng.randrange(8, 14)):
+                quote[i : i + 1] = rng.choice([["changed"], [], [quote[i], "more"]])
+        else:  # no case: five words, or a third of a long item
+            quote = item[: 5 if n < 30 else n // 3]
+        got = bool(found([doc(quote, rng.randrange(60), rng.randrange(60))], " ".join(item)))
+        if got != (kind < 3):
+            (missed if kind < 3 else wrong).append((kind, n, quote))
+    assert not missed and not wrong, (len(missed), missed[:2], len(wrong), wrong[:2])
