@@ -258,7 +258,8 @@ class ItemIndex:
         new = np.ones(len(pair), bool)
         new[1:] = (pair[1:] != pair[:-1]) | (place[1:] - place[:-1] > APART)
         group = np.cumsum(new) - 1
-        pair = pair[new]
+        begin = np.flatnonzero(new)
+        pair, low, high = pair[new], place[new], place[np.append(begin[1:], len(place)) - 1]
         # the most words of the item that they may cover: their own, those of gaps, and those past the ends of chains
         seed = np.sort((group << 32) + ipos)
         seed = seed[np.append(True, seed[1:] != seed[:-1])]
@@ -272,17 +273,21 @@ class ItemIndex:
         step[new] = np.minimum(ipos[new], SEED)
         last = ipos[np.append(np.flatnonzero(new)[1:], len(seed)) - 1]
         most = np.add.reduceat(step, np.flatnonzero(new)) + SEED + np.minimum(size - SEED - last, SEED)
-        # the words that a stretch of that many keeps, but for SEED - 1 past either end of a chain
+        # the words that a stretch of that many keeps, but for SEED - 1 past either end of a chain; two chains have 2 * LONG words at least
         least = np.maximum(MIN_WORDS + 1, COVERAGE * size)
-        kept = np.where(least < LONG, LIGHT * least - 2 * (SEED - 1), (LIGHT - 2 * (SEED - 1) / LONG) * least)
-        pairs = np.unique(pair[(most >= least) & (np.add.reduceat(own, np.flatnonzero(new)) >= kept - 1e-6)])
-        out = []
-        for p in pairs.tolist():
-            d, i = divmod(p, len(self.ids))
-            most = covered(tiles(docs[d], self.items[i], SEED), docs[d], self.items[i])
-            if most > MIN_WORDS and most >= COVERAGE * len(self.items[i]):
-                out.append((d, i))
-        return out
+        kept = np.where(least < 2 * LONG, LIGHT * least - 2 * (SEED - 1), (LIGHT - 2 * (SEED - 1) / LONG) * least)
+        near = 2 * SEED + GAP  # words past the seeds of a stretch that it may have
+        found = set()
+        for g in np.flatnonzero((most >= least) & (np.add.reduceat(own, np.flatnonzero(new)) >= kept - 1e-6)).tolist():
+            d, i = divmod(int(pair[g]), len(self.ids))
+            if (d, i) in found:
+                continue
+            at = int(start[d])
+            part, item = flat[max(at, int(low[g]) - near) : min(at + int(lengths[d]), int(high[g]) + SEED + near)], self.items[i]
+            most_ = covered(tiles(part, item, SEED), part, item)
+            if most_ > MIN_WORDS and most_ >= COVERAGE * len(item):
+                found.add((d, i))
+        return sorted(found)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = INDEX_LIMIT) -> list[DataFrame]:
