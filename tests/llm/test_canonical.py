@@ -42,3 +42,22 @@ def test_empty_long_and_null_runs(spark):
     assert got["a"] == "word " * 100_000 and got["b"] == "w" * 500_000 + " "
     runs = spark.createDataFrame([("p", None), ("q", []), ("r", [(None,), ("x y",)])], "paragraph_id string, runs array<struct<text string>>")
     assert [(r.item_id, r.run_no) for r in C.changed_ids(C.run_texts(runs), "text", "item_id", "run_no").collect()] == [("r", 1)]
+
+
+OWN = [
+    "У нас есть хор и оса", "А он сказал: с тобой", "Он видел её. А потом, у реки, она села.", "Ο άνθρωπος και ο σκύλος είναι ο φίλος μου", "Те са тук, а аз съм с тях.", "Сова и рак", "— А ты? — спросил он (Bob).",
+    "а", "Նա ո՞ւր է",
+]
+MIXED = {
+    "He met “Иван” а friend": "He met “Иван” a friend", "the оса flew": "the oca flew", "а man, Иван, sat": "a man, Иван, sat", "𝐇𝐞𝐥𝐥𝐨 ℓ Ⅳ ʜaze": "Hello l IV haze",
+    "Он сказал: they hаve о": "Он сказал: they have o", "Нaпример": "Нaпример",
+}
+
+
+def test_words_in_their_own_script_stay(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*OWN[:-2], OWN[-1], *MIXED])], "i int, text string")
+    got = {r.text: r.canonical for r in C.canonical_texts(df, "text", "i").collect()}
+    assert {t: got[t] for t in MIXED} == MIXED
+    assert [t for t in got if t not in MIXED and got[t] != t] == []
+    changed = {r.i for r in C.changed_ids(df, "text", "i").collect()}
+    assert changed == {i for i, t in enumerate([*OWN[:-2], OWN[-1], *MIXED]) if got[t] != t}
