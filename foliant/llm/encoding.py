@@ -1,18 +1,23 @@
 """Texts decoded with a wrong encoding, found and restored with a hidden Markov model.
 
 The model has a clean state, one state for each pair (the encoding a text was written in, the encoding it was read with), and a
-lost state for characters that no encoding gives back. It labels each run of characters outside ASCII. A state's emission is the
-likelihood of what its inverse transform makes of the run, in its context, under one model of clean text: character bigrams
-counted over all documents. The clean state's is that of the run as it stands. Entering a damaged state costs ENTER, so a rare
-but right character stays clean; the cheapest path through a document's runs labels them, and every labelled span gets the inverse
-transform of its state.
+lost state for characters that no encoding gives back. It labels the characters outside ASCII, run by run: within a run the
+cheapest path chooses, character by character, between the clean state and a damaged one whose bytes decode there, so damage is
+found beside right quotes, dashes and letters too. A state's emission is the likelihood of what its inverse transform makes of its
+characters, in their context, under one model of clean text: character bigrams counted over all documents. The clean state's is
+that of the characters as they stand. Entering a damaged state costs ENTER, so a rare but right character stays clean; the cheapest
+path through a document's runs labels them, and every labelled span gets the inverse transform of its state.
 
 Characters of Latin, Greek, Cyrillic and symbol blocks are symbols of their own, all others count by block with their own
 frequency in it, so the model has at most the square of some 2,800 symbols and in practice a few thousand pairs: its size does not
 follow the documents.
 
+Scripts that the documents hardly have get a bigram probability of their own, less the more the documents have of them, so that a
+restored text of a new script can win against its garbled form.
+
 Defined results: null, empty and ASCII-only texts are clean; repeated rows are labelled alike; a damaged span whose inverse
-transform fails anywhere is reported and left as it stands (`restored` false); other columns are dropped.
+transform fails anywhere, or for which a state with another result is about as likely (within SURE), is reported and left as it
+stands (`restored` false); other columns are dropped.
 """
 
 from __future__ import annotations
@@ -39,8 +44,18 @@ RARE = 4e-6
 #: Cost of changing from one damaged state to another besides entering it, and of a letter in place of a sign that stands alone.
 CHANGE, ALONE = 9.0, 5.0
 
+#: Nats by which a span's state must beat all that give another text for the span to be restored.
+SURE = 2.0
+#: Characters of documents in a script at which its own probability of a letter after another counts half; that probability; and how
+#: much less likely a word's first letter is (in nats).
+NEW_SCRIPT, WITHIN_SCRIPT, FIRST = 200, 1 / 80, 8.0
+#: Right punctuation outside ASCII that may stand beside damage.
+PUNCTUATION = "\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u2026\u00ab\u00bb\u00a1\u00bf\u3000-\u3003\u3008-\u3011\uff01\uff0c\uff1f"
+
 READ_WITH = ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-2", "iso8859-15")
-WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
+WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1256", "cp874", "iso8859-2", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
+#: Scripts by their code points, for those that the documents hardly have.
+SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x5D0, 0x5F0), (0x600, 0x700), (0xE00, 0xE80), (0x3040, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD7B0))
 #: States: (written in, read with, times).
 STATES = tuple((s, r, 1) for r in READ_WITH for s in WRITTEN_IN if s != r and (s, r) != ("cp1252", "latin-1")) + (("utf-8", "cp1252", 2), ("utf-8", "latin-1", 2))
 
@@ -78,6 +93,16 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
+def _garbled() -> re.Pattern:
+    """Letters whose bytes are a sequence of UTF-8 in the two most common one-byte readings."""
+    at = lambda a, b: "".join(re.escape(c) for r in ("latin-1", "cp1252") for n in range(a, b) for c in [bytes([n]).decode(r, "ignore")] if c)
+    more = f"[{at(0x80, 0xC0)}]"
+    return re.compile(f"[{at(0xC2, 0xE0)}]{more}|[{at(0xE0, 0xF0)}]{more}{{2}}|[{at(0xF0, 0xF5)}]{more}{{3}}")
+
+
+_GARBLED = _garbled()
+
+
 def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, a, b, n): kind 0 counts symbol pairs in all documents, kind 1 characters that only have a class symbol."""
 
@@ -85,7 +110,8 @@ def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
         texts = [t for t in b.column(0).to_pylist() if t]
         if not texts:
             return None
-        c = _codes(" " + "  ".join(texts) + " ")
+        # what reads as UTF-8 is no evidence of how clean text goes
+        c = _codes(_GARBLED.sub(" ", " " + "  ".join(texts) + " "))
         s = symbols(c)
         pairs, n = np.unique(s[:-1] * (1 << 21) + s[1:], return_counts=True)
         chars, m = np.unique(c[s >= _CLASS0], return_counts=True)
@@ -111,13 +137,26 @@ class CleanModel:
         in_class = chars.groupby("a").n.sum().to_dict()
         self.char = {chr(int(b)): math.log((n + 0.2) / (in_class[a] + 2000)) for a, b, n in zip(chars.a, chars.b, chars.n)}
         self.new = {int(a): math.log(0.2 / (n + 2000)) for a, n in in_class.items()}
+        per = {}
+        for k, n in [*self.one.items(), *((int(b), int(n)) for b, n in zip(chars.b, chars.n))]:
+            per[k] = per.get(k, 0) + n
+        self.within = [math.log(WITHIN_SCRIPT * NEW_SCRIPT / (NEW_SCRIPT + sum(n for k, n in per.items() if a <= k < b))) for a, b in SCRIPTS]
+        self.place: dict[str, tuple[int, int]] = {}
+
+    def _place(self, c: str) -> tuple[int, int]:
+        """(symbol, script or -1) of a character."""
+        got = self.place.get(c)
+        if got is None:
+            o = ord(c)
+            got = self.place[c] = (int(symbols(np.array([o]))[0]), next((k for k, (a, b) in enumerate(SCRIPTS) if a <= o < b), -1))
+        return got
 
     def step(self, a: str, b: str) -> float:
         """log P(b | a)."""
         key = (a, b)
         got = self.memo.get(key)
         if got is None:
-            x, y = symbols(np.array([ord(a), ord(b)])).tolist()
+            (x, _), (y, script) = self._place(a), self._place(b)
             unigram = (self.one.get(y, 0) + 0.01) / (self.total + 30)
             if y < 0x180 or 0x2010 <= y < 0x2040:
                 unigram = max(unigram, RARE)
@@ -125,6 +164,8 @@ class CleanModel:
             got = math.log((self.two.get((x, y), 0) + k * unigram) / (self.first.get(x, 0) + k))
             if y >= _CLASS0:
                 got += self.char.get(b, self.new.get(y, -7.6))
+            if script >= 0 and (inside := self._place(a)[1] == script) | (not a.isalpha()):
+                got = max(got, self.within[script] - (0 if inside else FIRST))
             if len(self.memo) > 500_000:
                 self.memo = {}
             self.memo[key] = got
@@ -132,9 +173,16 @@ class CleanModel:
 
     def score(self, text: str) -> float:
         """log P of all characters but the first, in order; a character that is never clean costs 30."""
-        total, step = 0.0, self.step
-        for a, b in zip(text, text[1:]):
-            total += -30.0 if b == "�" or "\x7f" <= b < "\xa0" else step(a, b)
+        total, step, known = 0.0, self.step, self.memo.get
+        for pair in zip(text, text[1:]):
+            b = pair[1]
+            if b == "�" or "\x7f" <= b < "\xa0":
+                total -= 30.0
+            elif (v := known(pair)) is not None:
+                total += v
+            else:
+                total += step(*pair)
+                known = self.memo.get  # a full memo starts anew
         return total
 
 
@@ -176,13 +224,17 @@ def inverse(text: str, state: tuple[str, str, int]) -> tuple[str, float] | None:
     return text, cost
 
 
+_TWO_ALPHABETS = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u06ff\u0e00-\u0e7f]|[\u0370-\u06ff\u0e00-\u0e7f][A-Za-z\u00c0-\u024f]")
+
+
 def restore(text: str, start: int, stop: int, state: int) -> tuple[int, str | None]:
-    """(end, original) of a labelled span; None where it cannot be restored. Its last character may end on a byte that reads as ASCII."""
+    """(end, original) of a labelled span; None where it cannot be restored, or would give words of two alphabets. Its last character may
+    end on a byte that reads as ASCII."""
     if state < 0:
         return stop, None
     for end in (stop, stop + 1) if STATES[state][0] in ("cp932", "gbk", "big5") and stop < len(text) else (stop,):
         made = inverse(text[start:end], STATES[state])
-        if made and not made[1]:
+        if made and not made[1] and not _TWO_ALPHABETS.search(text[max(0, start - 1) : start] + made[0] + text[end : end + 1]):
             return end, made[0]
     return stop, None
 
@@ -191,6 +243,11 @@ def restore(text: str, start: int, stop: int, state: int) -> tuple[int, str | No
 _COSTS = [enter_cost(s) for s in (*STATES, None)]
 _readable = {r: set(_bytes_of(r)) for r in READ_WITH}
 _any = set().union(*_readable.values())
+#: Characters that a damaged or lost state may have made.
+_wrong = {c for c in _any if c > "\x7e"} | {"\ufffd"}
+#: Characters of a reading that are no ASCII, and those whose bytes may begin a sequence of UTF-8.
+_beyond_ascii = {r: {c for c in x if c > "\x7f"} for r, x in _readable.items()}
+_leads = {r: {c for c in x if 0xC2 <= _bytes_of(r)[c] <= 0xF4} for r, x in _beyond_ascii.items()}
 
 
 def _pieces(text: str) -> list[tuple[int, int]]:
@@ -207,32 +264,92 @@ def _pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|(?:\xe0[\xa0-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]|\xed[\x80-\x9f])[\x80-\xbf]|(?:\xf0[\x90-\xbf]|[\xf1-\xf3][\x80-\xbf]|\xf4[\x80-\x8f])[\x80-\xbf]{2}")
+_EDGES = re.compile(f"^([{PUNCTUATION}]*)(.*?)([{PUNCTUATION}]*)$", re.DOTALL)
+#: What the states of a reading have in common: their numbers by the encoding they were written in, read once.
+_BY_READ = {r: [(i, s) for i, s in enumerate(STATES) if s[1] == r and s[2] == 1] for r in READ_WITH}
+_TWICE = [(i, s) for i, s in enumerate(STATES) if s[2] == 2]
+
+Spans = tuple[tuple[int, int], ...]
+
+
 class Labeller:
     """Labels texts with a clean model; emissions of short runs are remembered within a bound."""
 
     def __init__(self, model: CleanModel):
         self.model, self.memo = model, {}
 
-    def emissions(self, left: str, run: str, right: str) -> tuple[float, dict[int, float]]:
-        """Log-likelihood of a run under the clean state, and under each damaged state that could have made it (-1: lost)."""
+    def _value(self, left: str, run: str, right: str, state: tuple[str, str, int], made: tuple[str, float] | None) -> float | None:
+        if not made or made[0] == run or not made[0]:
+            return None
+        value = self.model.score(left + made[0] + right) - made[1]
+        if made[0][:1].isalpha() and not (left.isalpha() or right.isalpha() or run[0].isalpha()):
+            value -= ALONE
+        return value
+
+    def _along(self, left: str, run: str, right: str, raw: bytes) -> tuple[float, Spans, str] | None:
+        """Best labelling, character by character, of a run whose bytes are partly UTF-8: (value, damaged spans, text), with at least one span."""
+        units = {m.start(): m.end() for m in _UTF8.finditer(raw)}
+        step, n = self.model.step, len(run)
+        # two states a position: clean and damaged; each has (value, last character, spans, text)
+        ways: list[list[tuple | None]] = [[None, None] for _ in range(n + 1)]
+        ways[0][0] = (0.0, left, (), "")
+        for i in range(n):
+            for k, way in enumerate(ways[i]):
+                if way is None:
+                    continue
+                v, last, spans, text = way
+                c = run[i]
+                clean = v - (LEAVE if k else 0) + (-30.0 if c == "\ufffd" or "\x7f" <= c < "\xa0" else step(last, c))
+                if ways[i + 1][0] is None or ways[i + 1][0][0] < clean:
+                    ways[i + 1][0] = (clean, c, spans, text + c)
+                if i in units:
+                    j, c = units[i], raw[i : units[i]].decode("utf-8", "replace")
+                    bad = v - (ENTER - SPECIFIC if not k and spans else 0) + step(last, c)
+                    if ways[j][1] is None or ways[j][1][0] < bad:
+                        ways[j][1] = (bad, c, (*spans[:-1], (spans[-1][0], j)) if k and spans else (*spans, (i, j)), text + c)
+        ends = [(v + step(last, right) - (LEAVE if k == 0 else 0), spans, text) for k, way in enumerate(ways[n]) if way for v, last, spans, text in [way] if spans]
+        return max(ends) if ends else None
+
+    def emissions(self, left: str, run: str, right: str) -> tuple[float, dict[int, tuple[float, Spans, str]]]:
+        """Log-likelihood of a run under the clean state; and under each damaged state that could have made it or a part of it (-1: lost),
+        with the parts and the text they make."""
         key = (left, run, right)
         got = self.memo.get(key)
         if got is not None:
             return got
-        score = self.model.score
+        score, whole, chars = self.model.score, ((0, len(run)),), set(run)
+        if chars.isdisjoint(_wrong):
+            return 0.0, {}  # only the clean state can have made it, whatever its likelihood
         clean, out = score(left + run + right), {}
-        if any(c in _any or c == "�" for c in run):
-            chars = set(run)
-            for i, state in enumerate(STATES):
-                if chars <= _readable[state[1]] and (made := inverse(run, state)) and made[0] != run:
-                    value = score(left + made[0] + right) - made[1]
-                    if made[0][:1].isalpha() and not (left.isalpha() or right.isalpha() or run[0].isalpha()):
-                        value -= ALONE
-                    if value > clean - 2 * ENTER:
-                        out[i] = value
-            if "�" in run or any("\x7f" <= c < "\xa0" for c in run):
-                lost = [c for c in run if not (c == "�" or "\x7f" <= c < "\xa0")]
-                out[-1] = score(left + "".join(lost) + right) - LOST * (len(run) - len(lost))
+        readings = [r for r in READ_WITH if not chars.isdisjoint(_beyond_ascii[r])]
+        lead, core, tail = _EDGES.match(run).groups() if readings and len(run) > 1 else ("", "", "")
+        cores = {(a, b) for a in (0, len(lead)) for b in (len(run), len(run) - len(tail))} if core else {(0, len(run))}
+        for read in readings:
+            table, states = _bytes_of(read), _BY_READ[read]
+            for a, b in cores:
+                part = run[a:b]
+                if not (chars if b - a == len(run) else set(part)) <= _readable[read]:
+                    continue
+                before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
+                beside = (score(left + run[:a]) if a else 0.0) + (score(run[b:] + right) if b < len(run) else 0.0)
+                for i, state in states:
+                    value = self._value(before, part, after, state, made := inverse(part, state))
+                    if value is not None and value + beside > max(clean - 2 * ENTER, out[i][0] if i in out else -math.inf):
+                        out[i] = (value + beside, ((a, b),), made[0])
+            utf8 = next(((i, s) for i, s in states if s[0] == "utf-8"), None)
+            if utf8 and len(run) > 1 and not chars.isdisjoint(_leads[read]):
+                raw = bytes([table[c] if c in table and c != "\ufffd" else 63 for c in run])
+                if _UTF8.search(raw) and (best := self._along(left, run, right, raw)) and best[0] > max(clean - 2 * ENTER, out[utf8[0]][0] if utf8[0] in out else -math.inf):
+                    out[utf8[0]] = best
+        for i, state in _TWICE:
+            if readings and chars <= _readable[state[1]]:
+                value = self._value(left, run, right, state, made := inverse(run, state))
+                if value is not None and value > clean - 2 * ENTER:
+                    out[i] = (value, whole, made[0])
+        if "\ufffd" in run or any("\x7f" <= c < "\xa0" for c in run):
+            lost = [c for c in run if not (c == "\ufffd" or "\x7f" <= c < "\xa0")]
+            out[-1] = (score(left + "".join(lost) + right) - LOST * (len(run) - len(lost)), whole, "")
         got = (clean, out)
         if len(run) <= 24:
             if len(self.memo) > 200_000:
@@ -240,11 +357,12 @@ class Labeller:
             self.memo[key] = got
         return got
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, stop, state) of each damaged span, by the cheapest path through the runs of a text."""
+    def spans(self, text: str) -> list[tuple[int, int, int, bool]]:
+        """(start, stop, state, sure) of each damaged span, by the cheapest path through the runs of a text."""
         runs = _pieces(text)
         best: dict[int | None, float] = {None: 0.0}
         back: list[dict] = []
+        emitted: list[dict[int, tuple[float, Spans, str]]] = []
         seen = False
         for a, b in runs:
             clean, others = self.emissions(text[a - 1] if a else " ", text[a:b], text[b] if b < len(text) else " ")
@@ -256,13 +374,14 @@ class Labeller:
                     arrive, source = v - LEAVE, s
             now[None], came[None] = arrive + clean, source
             top = max(best, key=best.get)
-            for s, e in others.items():
+            for s, (e, _, _) in others.items():
                 v, source = best[top] - _COSTS[s] - (CHANGE if top is not None else 0), top
                 if s in best and best[s] > v:
                     v, source = best[s], s
                 now[s], came[s] = v + e, source
             best = now
             back.append(came)
+            emitted.append(others)
         if not seen:
             return []
         s = max(best, key=best.get)
@@ -271,17 +390,35 @@ class Labeller:
             labels.append(s)
             s = came[s]
         labels.reverse()
-        out: list[tuple[int, int, int]] = []
-        previous = None
-        for (a, b), label in zip(runs, labels):
+        out: list[tuple[int, int, int, bool]] = []
+        at = 0
+        while at < len(runs):
+            label, to = labels[at], at
+            while to + 1 < len(runs) and labels[to + 1] == label:
+                to += 1
             if label is not None:
-                if previous == label:
-                    out[-1] = (out[-1][0], b, label)
-                else:
-                    out.append((a, b, label))
-            previous = label
+                sure = label >= 0 and self._sure(label, emitted[at : to + 1])
+                fresh = True  # a span goes on over runs that are damaged from end to end
+                for (a, b), others in zip(runs[at : to + 1], emitted[at : to + 1]):
+                    parts = others[label][1]
+                    for x, y in parts:
+                        if not fresh and x == 0:
+                            out[-1] = (out[-1][0], a + y, label, sure)
+                        else:
+                            out.append((a + x, a + y, label, sure))
+                        fresh = y != b - a
+            at = to + 1
         return out
 
+    def _sure(self, label: int, emitted: list[dict[int, tuple[float, Spans, str]]]) -> bool:
+        """Whether no other state that gives another text is about as likely over all runs of a span."""
+        own = sum(x[label][0] for x in emitted) - _COSTS[label]
+        texts = [x[label][2] for x in emitted]
+        for s in set(emitted[0]).intersection(*emitted[1:]) - {label, -1}:
+            if sum(x[s][0] for x in emitted) - _COSTS[s] > own - SURE and [x[s][2] for x in emitted] != texts:
+                return False
+        return True
+
 
 _held: list[Labeller] = []
 
@@ -297,8 +434,8 @@ def damaged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             _held[:] = [Labeller(shared.value)]
         tool, out = _held[0], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for start, stop, state in tool.spans(text):
-                stop, made = restore(text, start, stop, state)
+            for start, stop, state, sure in tool.spans(text):
+                stop, made = restore(text, start, stop, state) if sure else (stop, None)
                 written, read = STATES[state][:2] if state >= 0 else (None, None)
                 out.append((i, start, stop, written, read, text[start:stop], made, made is not None))
         cols = list(zip(*out)) if out else [[] for _ in range(8)]

@@ -32,8 +32,8 @@ def tool(spark):
 
 def restored(tool, text):
     out, at = "", 0
-    for a, b, s in tool.spans(text):
-        b, got = E.restore(text, a, b, s)
+    for a, b, s, sure in tool.spans(text):
+        b, got = E.restore(text, a, b, s) if sure else (b, None)
         out += text[at:a] + (got if got is not None else text[a:b])
         at = b
     return out + text[at:]
@@ -68,3 +68,30 @@ def test_frames(spark):
     got = E.damaged_spans(df).where("doc_id < 0 or doc_id is null").collect()
     assert {r.doc_id for r in got} == {-3, -5, None} and all(r.restored and r.written_in == "utf-8" for r in got)
     assert E.damaged_spans(df.limit(0)).count() == 0
+
+
+PL = "Święta więc zaczęły się późno, a żółta łódź została źle zamknięta."
+EL = "Ο γέρος άνοιξε την πόρτα και κοίταξε τη θάλασσα."
+TH = "เขาเดินไปที่แม่น้ำในตอนเช้า"
+AR = "ذهب الرجل إلى المدينة القديمة في الليل"
+CS = "Příliš žluťoučký kůň úpěl ďábelské ódy."
+
+
+def test_damage_beside_right_characters(tool):
+    for text, want in {
+        "Il dit “Ã©tait tard”": "Il dit “était tard”", "La fin—Ã©tat": "La fin—état", "un cafÃ©… et rien": "un café… et rien", "«Ã€ bientÃ´t»": "«À bientôt»", "le prÃ©féré": "le préféré",
+    }.items():
+        assert restored(tool, text) == want, text
+    assert tool.spans("Il dit “était” — «déjà vu»…") == []
+
+
+@pytest.mark.parametrize("text,written,read", [(PL, "cp1250", "cp1252"), (EL, "cp1253", "cp1252"), (TH, "cp874", "cp1252"), (AR, "cp1256", "cp1252"), (CS, "iso8859-2", "latin-1"), (TH, "utf-8", "cp1252"), (EL, "utf-8", "cp1252")])
+def test_scripts_that_documents_lack(tool, text, written, read):
+    """Found, and never given another text than the right one as restored."""
+    bad = read_as(text, written, read)
+    spans = tool.spans(bad)
+    assert spans
+    for a, b, s, sure in spans:
+        if sure:
+            b, got = E.restore(bad, a, b, s)
+            assert got is None or got in text, (bad[a:b], got)
