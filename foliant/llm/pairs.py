@@ -1,8 +1,10 @@
 """Broken pairs of a source chunk and its translation, flagged with the kind of defect.
 
 Prompt and answer are aligned as words. A copy is an answer whose shingles lie in the prompt and whose longest common subsequence
-with it (bit-parallel) covers most of the answer, so typos, changed case, spacing and an introduction do not hide it. A refusal
-is a short answer of which a refusal template's words appear in order. A truncated answer is one whose anchors (names and numbers
+with it (bit-parallel) covers most of the answer, so typos, changed case, spacing and an introduction do not hide it. A refusal is
+an answer of any length with a sentence to which a refusal template aligns, a template being a row of slots (what is not done, to
+what) that stand in order with gaps between, where the source has no such sentence itself and its names and numbers are missing from
+the answer (where it has none, the refusal makes up the most of the answer or the answer is short). A truncated answer is one whose anchors (names and numbers
 that stand in both texts), aligned by longest common subsequence, show that what is missing lies after the last anchor and not
 between two. The language of an answer without Indonesian words comes from the character models of langid.
 
@@ -26,35 +28,40 @@ from pyspark.sql import functions as F
 from foliant.llm.arrowtools import map_batches
 
 SHINGLE, CONTAINED, COPIED = 3, 0.25, 0.6
-#: Words of the longest answer that may be a refusal; share of a template's words that must appear in order.
-REFUSAL_WORDS, REFUSED = 45, 0.8
 #: Length of a whole translation against its source; share of it that must be missing at the end; and the fewest characters.
 EXPANSION, MISSING, MISSING_CHARS = 1.1, 0.13, 40
 #: An answer that ends with a whole sentence and is longer than this share of a whole translation has not stopped well before its end.
 WELL_BEFORE = 0.71
 #: Share of Indonesian function words that no text wholly in another language has.
-INDONESIAN = 0.08
+INDONESIAN = 0.2
+#: Words that may stand between two slots of a template; share of the source's names and numbers that an answer with a refusal beside a
+#: translation has; and the length, against a whole translation, below which an answer to a source without any is short.
+GAP, TRANSLATED, SHORT = 5, 0.4, 0.6
 
-# Indonesian function words, and the cores of refusals in English and Indonesian.
+# Indonesian function words; and for the slots of refusal templates, ways to say that something is not done, what is done
+# to texts, texts, and what happens to requests. Parts of phrases are joined by a blank.
 FUNCTION_WORDS = frozenset("yang dan di itu ini dari ke pada untuk dengan tidak akan sebuah ada tersebut adalah dalam oleh saat bahwa karena aku kau saya mereka kita tetapi namun hanya sampai".split())
-REFUSALS = tuple(x.split() for x in (
-    "i can t translate this", "i cannot translate this", "i can not translate this", "i won t translate this", "i will not translate this",
-    "unable to translate this", "not able to translate this", "can t help with this request", "cannot help with this request",
-    "can t assist with this request", "cannot assist with this request", "can t help with that", "cannot assist with that", "unable to assist with this",
-    "unable to help with this request", "unable to process this", "cannot process this", "can t process this", "unable to provide a translation",
-    "won t be able to provide a translation", "cannot provide a translation", "can t provide a translation", "not able to provide a translation",
-    "i must decline to translate", "i have to decline to translate", "rather not continue with it", "rather not translate", "no translation available", "translation not available",
-    "translation is not available", "the content was blocked", "this content cannot be processed", "request was denied", "request was rejected", "request denied",
-    "tidak dapat menerjemahkan", "tidak bisa menerjemahkan", "belum bisa menerjemahkan", "belum dapat menerjemahkan", "tidak mampu menerjemahkan", "belum mampu menerjemahkan", "harus menolak menerjemahkan",
-    "menolak untuk menerjemahkan", "tidak dapat memproses", "tidak bisa memproses", "belum mampu memproses", "tidak dapat membantu permintaan", "tidak bisa membantu permintaan",
-    "belum mampu membantu permintaan", "tidak boleh diproses", "tidak dapat diproses", "permintaan ditolak", "terjemahan tidak tersedia", "terjemahannya tidak saya lanjutkan",
-    "tidak saya terjemahkan", "tidak dapat diterjemahkan", "konten diblokir", "konten ini diblokir",
-))
+NOT_DONE = ("cannot", "can not", "can t", "could not", "couldn t", "won t", "will not", "am not", "m not", "are not", "unable", "not able", "decline", "declined", "refuse", "refused", "rather not", "not comfortable", "not allowed", "not permitted", "not possible", "must not", "may not", "not going to",
+            "tidak", "tak", "belum", "bukan", "menolak", "enggan", "keberatan", "mustahil", "gagal")
+TRANSLATING = ("translate", "translating", "translated", "translation", "render", "rendering", "menerjemahkan", "terjemahkan", "diterjemahkan", "terjemahan", "terjemahannya", "penerjemahan", "mengalihbahasakan", "dialihbahasakan")
+DOING = ("help", "assist", "assisting", "process", "processed", "processing", "provide", "provided", "continue", "continued", "complete", "completed", "comply", "fulfil", "fulfill", "handle", "produce",
+         "membantu", "dibantu", "memproses", "diproses", "memenuhi", "dipenuhi", "melanjutkan", "lanjutkan", "dilanjutkan", "mengerjakan", "dikerjakan", "menyelesaikan", "menyediakan", "memberikan", "melayani")
+TEXTS = ("request", "requests", "text", "texts", "passage", "passages", "content", "material", "translation", "translating", "translate", "input", "excerpt", "prompt", "permintaan", "teks", "teksnya", "bagian", "konten", "terjemahan", "terjemahannya", "naskah", "materi", "isinya", "kutipan", "masukan")
+MET = ("blocked", "denied", "rejected", "refused", "declined", "unavailable", "not available", "prohibited", "disallowed", "ditolak", "diblokir", "dilarang", "tidak tersedia", "tidak diizinkan")
+SPEAKERS = ("as an ai", "as a language model", "as an assistant", "sebagai ai", "sebagai model bahasa", "sebagai asisten")
+REFUSING = ("refuse", "decline", "cannot", "can t", "unable", "not able", "won t", "menolak", "tidak bisa", "tidak dapat", "tidak mampu", "tidak boleh", "tak bisa", "tak dapat", "belum bisa", "belum dapat", "keberatan")
+NO_TRANSLATION = ("no", "tidak ada", "tanpa", "without")
+AVAILABLE = ("available", "provided", "possible", "tersedia")
+#: Templates, each a row of slots.
+REFUSALS = ((NOT_DONE, TRANSLATING), (NOT_DONE, DOING, TEXTS), (TEXTS, NOT_DONE, DOING), (TEXTS, MET), (MET, TEXTS), (TRANSLATING, NOT_DONE, DOING), (SPEAKERS, REFUSING), (NO_TRANSLATION, TRANSLATING, AVAILABLE))
 
 FLAGS = "chapter_id string, chunk_id string, defect string, evidence double, recorded array<string>"
 
 _WORD = re.compile(r"[^\W_]+")
 _ANCHOR = re.compile(r"\d+|[A-ZÀ-Þ][\w­​-‍]{2,}")
+#: Capitalised words that only open sentences.
+_OPENERS = frozenset("The And But Then When After Before With From That This There They His Her She Who What Why How For Not One All".split())
+_SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\n+")
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»)\]}」』]*\s*$")
 _OPEN_END = re.compile(r"(?:\.\.\.|…|\[[\s.…]*\])[\"'”’»)\]]*\s*$")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -84,17 +91,56 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def refusal_score(answer: list[str]) -> float:
-    """The largest share of a template's words that stand in order, close together, in the answer."""
-    best, have = 0.0, set(answer)
-    for t in REFUSALS:
-        if sum(w in have for w in t) < REFUSED * len(t):
-            continue
-        for i in range(max(1, len(answer) - len(t) - 1)):
-            best = max(best, common(t, answer[i : i + len(t) + 2]) / len(t))
-            if best == 1:
-                return best
-    return best
+def _slot(phrases: tuple[str, ...]) -> dict[str, list[tuple[str, ...]]]:
+    out: dict[str, list[tuple[str, ...]]] = {}
+    for p in phrases:
+        first, *rest = p.split()
+        out.setdefault(first, []).append(tuple(rest))
+    return out
+
+
+_TEMPLATES = tuple(tuple(map(_slot, t)) for t in REFUSALS)
+_HINTS = frozenset(w for slots in ((TRANSLATING, DOING, MET), (SPEAKERS,)) for phrases in slots for p in phrases for w in (p.split()[0], p.split()[-1])) - {"as", "tidak", "not"}
+
+
+def _aligned(template: tuple, ws: list[str]) -> bool:
+    """Whether a template's slots stand in order in the words, at most GAP words between two."""
+    ends: set[int] = set()
+    for k, slot in enumerate(template):
+        now = set()
+        for i, w in enumerate(ws):
+            if w in slot and (not k or any(0 <= i - e <= GAP for e in ends)):
+                now |= {i + 1 + len(rest) for rest in slot[w] if tuple(ws[i + 1 : i + 1 + len(rest)]) == rest}
+        if not now:
+            return False
+        ends = now
+    return True
+
+
+def refusing(text: str) -> tuple[int, int]:
+    """(words of the sentences that a refusal template aligns to, words of all)."""
+    refused = total = 0
+    for sentence in _SENTENCE.split(text):
+        ws = words(sentence)
+        total += len(ws)
+        if not _HINTS.isdisjoint(ws) and any(_aligned(t, ws) for t in _TEMPLATES):
+            refused += len(ws)
+    return refused, total
+
+
+def refusal_score(source: str, answer: str, got: list[str]) -> float:
+    """Share of an answer's words that refuse instead of translating; 0 if it is no refusal."""
+    if _HINTS.isdisjoint(got):
+        return 0.0
+    refused, total = refusing(answer)
+    if not refused or refusing(source)[0]:
+        return 0.0
+    anchors = {m.group() for m in _ANCHOR.finditer(source)} - _OPENERS
+    if anchors:
+        fine = len(anchors & {m.group() for m in _ANCHOR.finditer(answer)}) < TRANSLATED * len(anchors)
+    else:
+        fine = refused * 2 >= total or len(answer) < SHORT * EXPANSION * len(source)
+    return refused / total if fine else 0.0
 
 
 def copy_score(source: list[str], answer: list[str]) -> float:
@@ -135,24 +181,24 @@ def missing_end(source: str, answer: str) -> float:
     return EXPANSION * (len(source) - end_a) - rest_length
 
 
-def defect_of(source: str, answer: str | None, languages) -> tuple[str, float] | None:
-    """(defect, evidence) of a pair, None if it is sound. `languages` gives {language: characters} of a text."""
+def maybe_foreign(answer: str | None) -> bool:
+    """Whether an answer may be wholly in a language other than Indonesian, so that its languages must be known."""
+    got = words(answer) if answer else []
+    return bool(got) and sum(w in FUNCTION_WORDS for w in got) < INDONESIAN * len(got)
+
+
+def defect_of(source: str, answer: str | None, languages: dict[str, int]) -> tuple[str, float] | None:
+    """(defect, evidence) of a pair, None if it is sound. `languages` has the characters of each language in an answer that may be foreign."""
     if answer is None or not any(c.isalnum() for c in answer):
         return "empty", 1.0
     got = words(answer)
-    share = sum(w in FUNCTION_WORDS for w in got) / max(1, len(got))
-    whole = len(answer) >= 0.95 * len(source)
-    if len(got) > REFUSAL_WORDS and share >= INDONESIAN and whole and _STOPPED.search(answer):
-        return None
-    if len(got) <= REFUSAL_WORDS and (s := refusal_score(got)) >= REFUSED:
+    if s := refusal_score(source, answer, got):
         return "refusal", s
-    if share < INDONESIAN:
-        if (s := copy_score(words(source), got)) >= COPIED:
-            return "copy", s
-        found = languages(answer)
-        total = sum(found.values())
-        if total and (1 - (found.get("id", 0) + found.get("en", 0)) / total) >= 0.9:
-            return "other_language", 1 - (found.get("id", 0) + found.get("en", 0)) / total
+    if (s := copy_score(words(source), got)) >= COPIED:
+        return "copy", s
+    total = sum(languages.values())
+    if total and (share := 1 - (languages.get("id", 0) + languages.get("en", 0)) / total) >= 0.9:
+        return "other_language", share
     gap = missing_end(source, answer)
     size = EXPANSION * len(source)
     if len(answer) < WELL_BEFORE * size and gap >= MISSING * size and gap >= MISSING_CHARS:
@@ -163,6 +209,16 @@ def defect_of(source: str, answer: str | None, languages) -> tuple[str, float] |
     return None
 
 
+def languages_of(answers: list[str | None], model) -> list[dict[str, int]]:
+    """The characters of each language in the answers that may be foreign; nothing for the others."""
+    at = [i for i, a in enumerate(answers) if maybe_foreign(a)]
+    out: list[dict[str, int]] = [{} for _ in answers]
+    for i, found in zip(at, model.segments([answers[i] for i in at]) if at else ()):
+        for _, _, lang, n, _ in found:
+            out[i][lang] = out[i].get(lang, 0) + n
+    return out
+
+
 def joined_pairs(chunks: DataFrame, processed: DataFrame, source: str = "text", answer: str = "translation") -> DataFrame:
     """(chapter_id, chunk_id, source, answer, recorded): each chunk that has a processed row, once.
 
@@ -180,8 +236,9 @@ def defects(chunks: DataFrame, processed: DataFrame, models) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for chapter, chunk, source, answer, recorded in zip(*(b.column(i).to_pylist() for i in range(5))):
-            got = defect_of(source, answer, lambda t: _by_language(models.value, t))
+        cols = [b.column(i).to_pylist() for i in range(5)]
+        for chapter, chunk, source, answer, recorded, found in zip(*cols, languages_of(cols[3], models.value)):
+            got = defect_of(source, answer, found)
             if got:
                 out.append((chapter, chunk, *got, recorded))
         cols: Iterable = list(zip(*out)) if out else [[] for _ in range(5)]
@@ -189,10 +246,3 @@ def defects(chunks: DataFrame, processed: DataFrame, models) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in FLAGS.split(", ")])
 
     return map_batches(rows, run, FLAGS)
-
-
-def _by_language(model, text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for _, _, lang, n, _ in model.segments([text])[0]:
-        out[lang] = out.get(lang, 0) + n
-    return out
