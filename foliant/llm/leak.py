@@ -17,8 +17,6 @@ several passages of one item in a document give one row; a document that quotes
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -27,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrowtools import map_batches
+from foliant.llm.folding import without_marks
 from foliant.session import BROADCAST_LIMIT
 
 SEED, MIN_WORDS, COVERAGE, GAP = 3, 5, 0.39, 4
@@ -41,18 +40,10 @@ LONG, DENSE = 14, 12
 APART, WITHIN = SEED + 2 * GAP + 2 * SEED, SEED + max(GAP, 2 * SEED)
 
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
-#: Combining marks and invisible characters, which words go without.
-_MARKS = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))} | set("\u00ad\u200b\u200c\u200d\u2060\ufeff")
-
-
 def words(text: str | None) -> list[str]:
     if not text:
         return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        for c in _MARKS.intersection(text):
-            text = text.replace(c, "")
-    return _WORD.findall(text.lower())
+    return _WORD.findall(without_marks(text).lower())
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:

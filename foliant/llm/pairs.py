@@ -18,7 +18,6 @@ one key, the greatest text counts, a text before a null); extra columns are igno
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrowtools import map_batches
+from foliant.llm.folding import without_marks
 
 SHINGLE, CONTAINED, COPIED = 3, 0.25, 0.6
 #: Length of a whole translation against its source; share of it that must be missing at the end; and the fewest characters.
@@ -50,10 +50,12 @@ TEXTS = ("request", "requests", "text", "texts", "passage", "passages", "content
 MET = ("blocked", "denied", "rejected", "refused", "declined", "unavailable", "not available", "prohibited", "disallowed", "ditolak", "diblokir", "dilarang", "tidak tersedia", "tidak diizinkan")
 SPEAKERS = ("as an ai", "as a language model", "as an assistant", "sebagai ai", "sebagai model bahasa", "sebagai asisten")
 REFUSING = ("refuse", "decline", "cannot", "can t", "unable", "not able", "won t", "menolak", "tidak bisa", "tidak dapat", "tidak mampu", "tidak boleh", "tak bisa", "tak dapat", "belum bisa", "belum dapat", "keberatan")
+UNWILLING = ("rather not", "prefer not", "wish not", "decline", "refuse", "not comfortable", "not willing", "unwilling", "cannot", "can t", "won t", "will not", "unable", "not able")
+GOING_ON = ("continue", "continuing", "proceed", "proceeding", "go on", "engage", "engaging", "write", "writing", "work", "working")
 NO_TRANSLATION = ("no", "tidak ada", "tanpa", "without")
 AVAILABLE = ("available", "provided", "possible", "tersedia")
 #: Templates, each a row of slots.
-REFUSALS = ((NOT_DONE, TRANSLATING), (NOT_DONE, DOING, TEXTS), (TEXTS, NOT_DONE, DOING), (TEXTS, MET), (MET, TEXTS), (TRANSLATING, NOT_DONE, DOING), (SPEAKERS, REFUSING), (NO_TRANSLATION, TRANSLATING, AVAILABLE))
+REFUSALS = ((NOT_DONE, TRANSLATING), (NOT_DONE, DOING, TEXTS), (TEXTS, NOT_DONE, DOING), (TEXTS, MET), (MET, TEXTS), (TRANSLATING, NOT_DONE, DOING), (SPEAKERS, REFUSING), (UNWILLING, GOING_ON), (NO_TRANSLATION, TRANSLATING, AVAILABLE))
 
 FLAGS = "chapter_id string, chunk_id string, defect string, evidence double, recorded array<string>"
 
@@ -69,9 +71,7 @@ _URL = r"(?i)^\s*(https?://|www\.)\S+\s*$"
 
 
 def fold(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return without_marks(text.lower())
 
 
 def words(text: str) -> list[str]:
@@ -100,7 +100,7 @@ def _slot(phrases: tuple[str, ...]) -> dict[str, list[tuple[str, ...]]]:
 
 
 _TEMPLATES = tuple(tuple(map(_slot, t)) for t in REFUSALS)
-_HINTS = frozenset(w for slots in ((TRANSLATING, DOING, MET), (SPEAKERS,)) for phrases in slots for p in phrases for w in (p.split()[0], p.split()[-1])) - {"as", "tidak", "not"}
+_HINTS = frozenset(w for slots in ((TRANSLATING, DOING, MET, GOING_ON), (SPEAKERS,)) for phrases in slots for p in phrases for w in (p.split()[0], p.split()[-1])) - {"as", "tidak", "not"}
 
 
 def _aligned(template: tuple, ws: list[str]) -> bool:
@@ -183,7 +183,7 @@ def missing_end(source: str, answer: str) -> float:
 
 def maybe_foreign(answer: str | None) -> bool:
     """Whether an answer may be wholly in a language other than Indonesian, so that its languages must be known."""
-    got = words(answer) if answer else []
+    got = _WORD.findall(answer.lower()) if answer else []
     return bool(got) and sum(w in FUNCTION_WORDS for w in got) < INDONESIAN * len(got)
 
 
@@ -199,13 +199,13 @@ def defect_of(source: str, answer: str | None, languages: dict[str, int]) -> tup
     total = sum(languages.values())
     if total and (share := 1 - (languages.get("id", 0) + languages.get("en", 0)) / total) >= 0.9:
         return "other_language", share
-    gap = missing_end(source, answer)
     size = EXPANSION * len(source)
-    if len(answer) < WELL_BEFORE * size and gap >= MISSING * size and gap >= MISSING_CHARS:
-        return "truncated", gap / size
-    cut = not _STOPPED.search(answer) or (_OPEN_END.search(answer) and not _OPEN_END.search(source))
-    if cut and _STOPPED.search(source) and len(answer) < 0.9 * size and gap >= MISSING / 2 * size:
-        return "truncated", gap / size
+    short = len(answer) < WELL_BEFORE * size
+    cut = len(answer) < 0.9 * size and _STOPPED.search(source) and (not _STOPPED.search(answer) or (_OPEN_END.search(answer) and not _OPEN_END.search(source)))
+    if short or cut:
+        gap = missing_end(source, answer)
+        if (short and gap >= MISSING * size and gap >= MISSING_CHARS) or (cut and gap >= MISSING / 2 * size):
+            return "truncated", gap / size
     return None
 
 
