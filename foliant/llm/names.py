@@ -3,12 +3,16 @@
 A name is taken apart into folded words (no case, accents, titles, articles; one spelling for c/k, y/i and ks/x; abbreviated legal
 forms and place kinds written out). Words that people mistype are rewritten to registered words one edit away, found by an
 equi-join on the words' one-letter deletions. Each name is then rewritten in every way the rules allow: token order (sorted pairs
-and sets), left-out middle names, nicknames (the first three letters with a pet ending), initials, title and surname, words run
-together, kind words moved and acronyms. The rewritings are exploded and equi-joined; a rewriting's cost says how much it leaves
-out, and its rarity decides: a candidate counts only if, at a name's lowest cost, all its matches are records of one entity.
+and sets), left-out middle names, nicknames (a table of given names, and the first three letters with a pet ending), initials, title
+and surname, words run together, kind words moved and acronyms. The rewritings are exploded and equi-joined. A rewriting's score is
+what it leaves out (its cost) and how common it is (RARITY times the logarithm of the entities that have it), and a candidate counts
+only if, at a name's best score, all its matches are records of one entity.
 
-Records are joined in two rounds, so that the first can tell how many entities share a rewriting: rewritings that keep given name
-and surname (or all words of an organisation or place) first, then, for records that have no such name, those that keep less.
+Records are joined in two rounds, so that the second can tell how many entities share a rewriting: rewritings that keep given name
+and surname (or all words of an organisation or place) first, then, for records that have no such name, those that keep less. No
+form is joined record by record: in the first round the records of a form hang together by the least of them, in the second and for
+mentions a form brings two or three entities at most, as more of them could only tie. So a form that a third of all records share
+costs as much as any other.
 
 Defined results: null, empty and letterless names match nothing; repeated rows count once; null entity types are ignored, as
 entity types are wrong too often to tell entities apart; names of entities that no registered record carries match nothing.
@@ -22,7 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.session import cut
@@ -36,16 +40,27 @@ ABBREVIATED = {
     "acad": "academy", "bhd": "brotherhood", "co": "company", "ft": "fort", "gld": "guild", "lk": "lake", "mt": "mount",
     "ord": "order", "pt": "port", "trdg": "trading", "vly": "valley",
 }
+#: Given names and what their bearers are called.
+CALLED = {
+    "abigail": "abby gail", "albert": "al bert bertie", "alexander": "alex sandy xander", "alfred": "alf alfie fred", "andrew": "andy drew", "anthony": "tony", "arthur": "art artie", "barbara": "babs barb barbie",
+    "benjamin": "ben benny", "catherine": "cathy kate katie kitty", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dorothy": "dot dottie dolly",
+    "edward": "ed eddie ned ted teddy", "eleanor": "ellie nell nora", "elizabeth": "bess beth betsy betty eliza libby lisa liz lizzie", "emily": "em emmy", "frances": "fanny fran", "francis": "frank", "frederick": "fred freddie",
+    "gerald": "gerry jerry", "gregory": "greg", "harold": "hal harry", "helen": "nell nellie", "henry": "hal hank harry", "isabella": "bella izzy", "jacob": "jake", "james": "jamie jim jimmy", "jennifer": "jen jenny",
+    "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey", "judith": "judy", "katherine": "kate kathy katie kit kitty", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny", "margaret": "daisy greta maggie marge meg peggy",
+    "martha": "marty patty", "mary": "molly polly", "matthew": "matt", "michael": "mick mickey mike", "nathaniel": "nat nate", "nicholas": "nick nicky", "patricia": "pat patsy tricia trish", "patrick": "paddy pat", "peter": "pete",
+    "philip": "phil pip", "rebecca": "becca becky", "richard": "dick rich rick ricky", "robert": "bob bobby rob robbie", "ronald": "ron ronnie", "samuel": "sam sammy", "sarah": "sadie sally", "stephen": "steve", "susan": "sue susie",
+    "theodore": "ted teddy theo", "theresa": "terry tess tessa", "thomas": "tom tommy", "timothy": "tim", "victoria": "tori vicky", "walter": "wally walt", "william": "bill billy liam will willie",
+}
 PET_ENDINGS = ("y", "ie", "ka", "in", "o")
 
-#: Costs of the rewritings, beside one a mistyped word; a name's matches must agree at its lowest cost.
-COST = {"full": 0.0, "joined": 0.3, "nick": 1.4, "initial": 2.4, "title": 3.0, "acronym": 3.4, "pet": 3.6}
+#: Costs of the rewritings, beside one a mistyped word, and what a form costs by the logarithm of the entities that have it; a name's
+#: matches must agree at its lowest cost.
+COST = {"full": 0.0, "joined": 0.3, "called": 0.8, "nick": 1.4, "initial": 2.4, "title": 3.0, "acronym": 3.4, "pet": 3.6}
 #: Rewritings of the first round.
-STRONG = ("full", "joined", "nick")
-#: Words of a name that may be mistyped at once.
-MISTYPED = 3
-#: Words of the longest name in which mistyped words are looked for; longer texts are no names that people type.
-LONG = 12
+STRONG = ("full", "joined", "called", "nick")
+RARITY = 0.3
+#: Words of a name that are rewritten in every combination; if more are mistyped, all at once or, in names of more than LONG words, one at a time.
+MISTYPED, LONG = 3, 12
 #: Letters of the shortest word that may be mistyped, and of the shortest name run together.
 TYPO_LENGTH, JOINED_LENGTH = 4, 9
 
@@ -59,6 +74,10 @@ def fold(word: str) -> str:
 _FOLDED = {fold(k): fold(v) for k, v in ABBREVIATED.items()}
 _FIRST, _LAST = {fold(k) for k in KINDS_FIRST}, {fold(k) for k in KINDS_LAST | {"trading"}}
 _PET = tuple(sorted({fold(e) for e in PET_ENDINGS}, key=len, reverse=True))
+_FORMAL: dict[str, list[str]] = {}
+for _formal, _called in CALLED.items():
+    for _c in _called.split():
+        _FORMAL.setdefault(fold(_c), []).append(fold(_formal))
 _TITLES = {fold(t) for t in TITLES}
 _ARTICLES = {fold(t) for t in ARTICLES}
 _QUOTED = re.compile(r"[\"“”«»„][^\"“”«»„]*[\"“”«»„]")
@@ -106,7 +125,9 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
         """Every way to rewrite at most MISTYPED words of a name to registered ones; the other words stay as typed."""
         other = [[v for v, e in near.get(w, ()) if e] for w in ws]
         spots = [i for i, o in enumerate(other) if o]
-        for k in range(min(MISTYPED if len(ws) <= LONG else 0, len(spots)) + 1):
+        if len(spots) > (MISTYPED if len(ws) <= LONG else 1):
+            yield tuple(o[0] if o else w for w, o in zip(ws, other)), len(spots)
+        for k in range(min(MISTYPED if len(ws) <= LONG else 1, len(spots)) + 1):
             for at in itertools.combinations(spots, k):
                 for pick in itertools.product(*(other[i] for i in at)):
                     out_ = list(ws)
@@ -142,12 +163,19 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
                             put("j:" + w + other, "joined", e)
                             put("s:" + w, "title", e)
             for w, other in ((a, b), (b, a)):
+                for formal in _FORMAL.get(w, ()):
+                    for (o,), e in choices([other]):
+                        put("p:" + " ".join(sorted((formal, o))), "called", e, mid)
                 if stem := _pet_stem(w):
                     for (o,), e in choices([other]):
                         put(f"n:{stem} {o}", "nick", e)
         if registered:
             for x in (given, last):
                 put("m:" + x[:3], "pet", 0)
+            for x in {given, *_FORMAL.get(given, ())}:
+                put("g:" + x, "pet", 0)
+            if len(full) > 2:
+                put("A:" + "".join(x[0] for x in full), "acronym", 0)
     if not p["kind"] and len(full) == 1 and initials:
         for (w,), e in choices(full):
             for i in {initials[0], initials[-1]}:
@@ -165,6 +193,12 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
             put("m:" + stem, "pet", 0)
         if p["bare"] and 2 <= len(w) <= 4:
             put("a:" + w, "acronym", 0)
+        if p["bare"] and p["caps"] and 3 <= len(w) <= 6:
+            put("A:" + w, "acronym", 0)
+        for formal in _FORMAL.get(w, ()):
+            put("g:" + formal, "pet", 0)
+    if not p["kind"] and not full and len(initials) > 2 and p["caps"]:
+        put("A:" + "".join(initials), "acronym", 0)
     if registered and not p["kind"] and len(full) >= 2:
         for j in (full[0] + full[-1], full[-1] + full[0]):
             put("d:" + j, "joined", 1)
@@ -173,15 +207,15 @@ def rewritings(name: str, near: dict[str, list[tuple[str, int]]], registered: bo
     return [(form, kind, cost, middle) for (form, kind, middle), cost in out.items()]
 
 
-def _words_of(names: DataFrame) -> DataFrame:
-    """(name, word): the folded words of distinct names."""
+def _parsed(names: DataFrame) -> DataFrame:
+    """(name, own, words): distinct names with their folded words; names without any are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, w) for n in b["name"] if (p := parse(n)) for w in p["words"]]
-            yield pd.DataFrame(rows, columns=["name", "word"])
+            rows = [(n, own, p["words"]) for n, own in zip(b["name"], b["own"]) if (p := parse(n))]
+            yield pd.DataFrame(rows, columns=["name", "own", "words"])
 
-    return names.select("name").mapInPandas(run, "name string, word string")
+    return names.select("name", "own").mapInPandas(run, "name string, own boolean, words array<string>")
 
 
 def _deletions(word: Column) -> Column:
@@ -202,36 +236,33 @@ def near_words(words: DataFrame, registered: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.collect_list(F.struct(F.col("known").alias("w"), edits.alias("e"))).alias("near"))
 
 
-def _forms(names: DataFrame, near: DataFrame, registered: bool) -> DataFrame:
-    """(name, form, kind, cost, middle) of distinct names."""
-    words = _words_of(names)
-    per = words.join(near, "word").groupBy("name").agg(F.map_from_entries(F.collect_set(F.struct("word", "near"))).alias("near"))
+def _forms(parsed: DataFrame, near: DataFrame) -> DataFrame:
+    """(name, own, registered, form, kind, cost, middle) of distinct names: what they may be cut down to if registered, and what they are."""
+    per = parsed.select("name", F.explode(F.array_distinct("words")).alias("word")).join(near, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "near"))).alias("near"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for name, near_ in zip(b["name"], b["near"]):
+            for name, own, near_ in zip(b["name"], b["own"], b["near"]):
                 near_ = dict(near_) if near_ is not None else {}
                 options = {w: sorted(((x["w"], x["e"]) for x in v), key=lambda x: (x[1], x[0])) for w, v in near_.items()}
-                rows += [(name, *f) for f in rewritings(name, options, registered)]
-            yield pd.DataFrame(rows, columns=["name", "form", "kind", "cost", "middle"])
+                for side in (True, False) if own else (False,):
+                    rows += [(name, own, side, *f) for f in rewritings(name, options, side)]
+            yield pd.DataFrame(rows, columns=["name", "own", "registered", "form", "kind", "cost", "middle"])
 
-    joined = names.select("name").distinct().join(per, "name", "left")
-    return joined.mapInPandas(run, "name string, form string, kind string, cost double, middle string")
+    joined = parsed.select("name", "own").join(per, "name", "left")
+    return joined.mapInPandas(run, "name string, own boolean, registered boolean, form string, kind string, cost double, middle string")
 
 
 def _components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entity_id, cluster): the least id reachable over pairs; a few rounds of joins, with lineage cut after each."""
-    both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).distinct()
-    both = cut(both)
-    label = cut(nodes.select("entity_id", F.col("entity_id").alias("cluster")))
+    both = cut(pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).distinct())
+    label = nodes.select("entity_id", F.col("entity_id").alias("cluster"))
     while True:
         reach = both.join(label, both.id_b == label.entity_id).groupBy("id_a").agg(F.min("cluster").alias("least"))
-        new = label.join(reach, label.entity_id == reach.id_a, "left").select("entity_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("least", "cluster")).alias("cluster"))
-        new = cut(new)
-        moved = new.where("cluster < old").limit(1).count()
+        new = cut(label.join(reach, label.entity_id == reach.id_a, "left").select("entity_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("least", "cluster")).alias("cluster")))
         label = new.select("entity_id", "cluster")
-        if not moved:
+        if new.where("cluster < old").isEmpty():
             return label
 
 
@@ -240,49 +271,77 @@ def _middles_agree() -> Column:
     return (a == "") | (b == "") | (F.left(a, F.lit(1)) == F.left(b, F.lit(1)))
 
 
-def _decided(matches: DataFrame, key: str, clusters: DataFrame) -> DataFrame:
-    """(key, cluster) where all matches at the key's lowest cost are records of one entity."""
-    m = matches.join(clusters, "entity_id").groupBy(key, "cluster").agg(F.min("cost").alias("cost"))
+def _decided(matches: DataFrame, key: str) -> DataFrame:
+    """(key, cluster) where all matches (key, cluster, cost) at the key's lowest cost are records of one entity."""
+    m = matches.groupBy(key, "cluster").agg(F.min("cost").alias("cost"))
     best = m.groupBy(key).agg(F.min("cost").alias("least"))
     near = m.join(best, key).where(F.col("cost") <= F.col("least") + 0.05)
     one = near.groupBy(key).agg(F.count("*").alias("n"), F.min("cluster").alias("cluster"))
     return one.where("n = 1").select(key, "cluster")
 
 
-def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of two entity records, or of a record and a mention, that name the same entity."""
-    records = entities.select(F.col("entity_id").cast("bigint").alias("entity_id"), F.explode(F.array_union(
-        F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
-    typed = mentions.select(F.col("mention_id").cast("bigint").alias("mention_id"), F.col("text").alias("name")).where("name is not null").distinct()
-    known = cut(_words_of(records.select("name").distinct()).select("word").distinct())
-    names = cut(records.select("name", F.lit(True).alias("own")).unionByName(typed.select("name", F.lit(False).alias("own"))).groupBy("name").agg(F.max("own").alias("own")))
-    near = cut(near_words(_words_of(names), known))
-    own = _forms(names.where("own"), near, True)
-    registered = cut(own.join(records, "name").groupBy("entity_id", "form", "kind", "middle").agg(F.min("cost").alias("cost")))
-    asked = _forms(names, near, False)
-    sides = registered.select("entity_id", "form", F.col("cost").alias("o_cost"), F.col("middle").alias("o_middle"))
-    hits = asked.join(sides, "form").where(_middles_agree())
+def _held_by(registered: DataFrame, clusters: DataFrame, most: int) -> DataFrame:
+    """(form, o_cost, o_middle, cluster, rarity): the entities that have a form, at most `most` of each cost and middle name.
+
+    Whoever asks for a form wants to know whether one entity has it, so two of them (three, if the asker's own is to be left out) tell
+    as much as all: more could only tie with those. So no form grows with the records that share it.
+    """
+    held = registered.join(clusters, "entity_id").groupBy("form", "middle", "cluster").agg(F.min("cost").alias("o_cost"))
+    count = held.groupBy("form").agg(F.count_distinct("cluster").alias("n"))
+    w = Window.partitionBy("form", "o_cost", "middle").orderBy("cluster")
+    few = held.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    return few.join(count, "form").select("form", "o_cost", F.col("middle").alias("o_middle"), "cluster", (F.log("n") * RARITY).alias("rarity"))
+
+
+def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(name, round, cluster, cost) of the names that share a form with an entity; a rewriting costs what it leaves out and how common its form is."""
     kinds = F.when(F.col("kind").isin(*STRONG), 1).otherwise(2)
-    hits = cut(hits.groupBy("name", "entity_id", kinds.alias("round")).agg(F.min(F.col("cost") + F.col("o_cost") / 2).alias("cost")))
+    hits = asked.join(held, "form").where(_middles_agree())
+    return hits.groupBy("name", kinds.alias("round"), "cluster").agg(F.min(F.col("cost") + F.col("o_cost") / 2 + F.col("rarity")).alias("cost"))
 
-    alone = records.select("entity_id").distinct().withColumn("cluster", F.col("entity_id"))
-    asked_by = records.withColumnRenamed("entity_id", "asker")
-    strong = hits.where("round = 1")
-    pairs = strong.join(asked_by, "name").where("asker <> entity_id and cost < 3").select(F.least("asker", "entity_id").alias("id_a"), F.greatest("asker", "entity_id").alias("id_b")).distinct()
-    first = cut(_components(pairs, alone))
 
-    weak_names = hits.groupBy("name").agg(F.min("round").alias("best"))
-    weak = hits.join(asked_by, "name").where("asker <> entity_id").select("asker", "entity_id", "round", "cost")
+def entity_clusters(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((entity_id, cluster) of all records, (mention_id, cluster) of the mentions that name one): the least id of an entity's records."""
+    records = entities.select(F.col("entity_id").cast("bigint").alias("entity_id"), F.explode(F.array_union(
+        F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
+    typed = mentions.select(F.col("mention_id").cast("bigint").alias("mention_id"), F.col("text").alias("name")).where("name is not null").distinct()
+    names = records.select("name", F.lit(True).alias("own")).unionByName(typed.select("name", F.lit(False).alias("own"))).groupBy("name").agg(F.max("own").alias("own"))
+    parsed = cut(_parsed(names))
+    every = parsed.select("own", F.explode("words").alias("word"))
+    forms = cut(_forms(parsed, near_words(every, every.where("own"))))
+    registered = cut(forms.where("registered").join(records, "name").groupBy("entity_id", "form", "kind", "middle").agg(F.min("cost").alias("cost")))
+    asked = forms.where("not registered")
+    alone = records.select("entity_id").distinct()
+
+    # first round: records that share a strong rewriting; each form's records of one cost and middle name hang together by the least of them
+    group = ["form", "cost", "middle"]
+    least = registered.groupBy(*group).agg(F.min("entity_id").alias("rep")).select("form", F.col("cost").alias("o_cost"), F.col("middle").alias("o_middle"), "rep")
+    strong = asked.where(F.col("own") & F.col("kind").isin(*STRONG)).join(least, "form").where(_middles_agree() & (F.col("cost") + F.col("o_cost") / 2 < 3))
+    touched = strong.select("form", F.col("o_cost").alias("cost"), F.col("o_middle").alias("middle"), "rep").distinct()
+    edges = strong.select("name", "rep").distinct().join(records, "name").select("entity_id", "rep").unionByName(touched.join(registered, group).select("entity_id", "rep"))
+    first = _components(edges.where("entity_id <> rep").select(F.least("entity_id", "rep").alias("id_a"), F.greatest("entity_id", "rep").alias("id_b")).distinct(), alone)
+
+    # second round: records without a full name that stand alone, by what they leave out
     whole = registered.where("kind = 'full'").select("entity_id").distinct()
     lone = first.groupBy("cluster").count().where("count = 1").select("cluster")
     lonely = first.join(lone, "cluster").join(whole, "entity_id", "left_anti").select(F.col("entity_id").alias("asker"))
-    bound = _decided(weak.where("round = 2").join(lonely, "asker").select("asker", "entity_id", "cost"), "asker", first)
-    more = bound.select(F.least("asker", "cluster").alias("id_a"), F.greatest("asker", "cluster").alias("id_b")).where("id_a <> id_b")
+    asking = lonely.join(records.withColumnRenamed("entity_id", "asker"), "asker")
+    weak = _matches(asked.where("own").join(asking.select("name").distinct(), "name", "left_semi"), _held_by(registered, first, 3)).where("round = 2")
+    bound = _decided(weak.join(asking, "name").where("asker <> cluster"), "asker")
+    more = bound.select(F.least("asker", "cluster").alias("id_a"), F.greatest("asker", "cluster").alias("id_b"))
     base = first.select(F.least("entity_id", "cluster").alias("id_a"), F.greatest("entity_id", "cluster").alias("id_b")).where("id_a <> id_b")
-    clusters = cut(_components(base.unionByName(more), alone))
+    clusters = _components(base.unionByName(more), alone)
 
-    chosen = _decided(hits.join(weak_names, "name").where("round = best").select("name", "entity_id", "cost"), "name", clusters)
-    linked = typed.join(chosen, "name").join(clusters, "cluster").select(F.col("entity_id").alias("id_a"), F.col("mention_id").alias("id_b"))
-    other = clusters.select(F.col("entity_id").alias("id_b"), "cluster")
-    both = clusters.select(F.col("entity_id").alias("id_a"), "cluster").join(other, "cluster").where("id_a < id_b").select("id_a", "id_b")
+    hits = _matches(asked.join(typed.select("name").distinct(), "name", "left_semi"), _held_by(registered, clusters, 2))
+    best = hits.groupBy("name").agg(F.min("round").alias("best"))
+    chosen = _decided(hits.join(best, "name").where("round = best"), "name")
+    return clusters, typed.join(chosen, "name").select("mention_id", "cluster")
+
+
+def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of two entity records, or of a record and a mention, that name the same entity."""
+    clusters, named = entity_clusters(entities, mentions)
+    a = clusters.select(F.col("entity_id").alias("id_a"), "cluster")
+    both = a.join(clusters.select(F.col("entity_id").alias("id_b"), "cluster"), "cluster").where("id_a < id_b").select("id_a", "id_b")
+    linked = a.join(named, "cluster").select("id_a", F.col("mention_id").alias("id_b"))
     return both.unionByName(linked).distinct()

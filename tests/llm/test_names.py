@@ -48,3 +48,20 @@ def test_near_words_are_all_within_one_edit(spark):
     assert {(w, k) for w, k, e in got if e == 0} == {(w, w) for w in words}
     assert {k for w, k, e in got if w == "grubo" and e} == {"gruob", "grbo", "grubbo", "gruba"}
     assert not any(k == "abd" for w, k, _ in got if w == "abc")  # too short to be mistyped
+
+
+def test_nicknames_acronyms_and_rarity(spark):
+    rows = [(1, "William Smith", None), (2, "Jill Smith", ["Jill Smythe"]), (3, "Robert Hale", None), (4, "Margaret Osgood", None), (5, "International Business Machines", None), (6, "Elizabeth Crane", None), (7, "Elizabeth Crowe", None),
+            (8, "Alpha Trading Company", ["ATC"]), (9, "Amber Trading Company", None), (10, "The Most Worshipful and Ancient Order of Quiet Gardeners Bakers Weavers Fishermen Cobblers Tailors", None)]
+    df = spark.createDataFrame(rows, ENTITIES)
+    texts = ["Will Smith", "Bob Hale", "Peggy Osgood", "IBM", "I.B.M.", "Liz Crane", "Peggy", "ATC", "ibm", "The Most Worshipful and Ancient Order of Quiet Gradeners Bakres Weavers Fishermne Cobblers Tailros"]
+    records, got = linked(spark, df, texts)
+    assert records == set()
+    assert got == [{1}, {3}, {4}, {5}, {5}, {6}, {4}, {8}, set(), {10}]
+
+
+def test_a_form_that_many_records_share(spark):
+    df = spark.range(400).select(F.col("id").alias("entity_id"), F.lit("Vutrith Yoyiakror").alias("canonical_name"), F.array(F.concat(F.lit("Vutrith Xa"), F.chr((F.col("id") % 20 + 97).cast("long")), F.lit("bodan"))).alias("aliases"))
+    m = spark.createDataFrame([(1000, "Yoyiakror, Vutrith")], "mention_id bigint, text string")
+    clusters, named = names.entity_clusters(df, m)
+    assert clusters.select("cluster").distinct().collect() == [(0,)] and clusters.count() == 400 and [tuple(r) for r in named.collect()] == [(1000, 0)]
