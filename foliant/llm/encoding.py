@@ -203,27 +203,37 @@ def _bytes_of(read_with: str) -> dict[str, int]:
 def inverse(text: str, state: tuple[str, str, int]) -> tuple[str, float] | None:
     """What a state's inverse transform makes of a text, and the cost of what is not sure in it; None if it cannot have come from it."""
     written, read, times = state
-    table = _bytes_of(read)
-    cost = GUESSED * text.count("�")
-    if cost and written not in ("utf-8", "cp932", "euc_jp", "gbk", "big5", "euc_kr"):
-        return None  # nothing around a lost single byte tells which it was
+    table, cost = _bytes_of(read), GUESSED * text.count("�")
     for _ in range(times):
         try:
             raw = bytes([table[c] for c in text])
         except KeyError:
             return None
-        try:
-            text = raw.decode(written)
-        except UnicodeDecodeError:
-            text = raw.decode(written, "replace")
-            broken = text.count("�")
-            text = text.replace("�", "")
-            if broken >= sum(c > "\x7f" for c in text):
-                return None
-            cost += BROKEN * broken
+        got = _decoded(raw, written, cost)
+        if got is None:
+            return None
+        text, cost = got
     return text, cost
 
 
+_MULTIBYTE = frozenset(("utf-8", "cp932", "euc_jp", "gbk", "big5", "euc_kr"))
+
+
+def _decoded(raw: bytes, written: str, cost: float) -> tuple[str, float] | None:
+    """Bytes in an encoding, with the cost of what is not sure; `cost` is that of bytes that were guessed."""
+    if cost and written not in _MULTIBYTE:
+        return None  # nothing around a lost single byte tells which it was
+    try:
+        return raw.decode(written), cost
+    except UnicodeDecodeError:
+        text = raw.decode(written, "replace")
+        broken = text.count("�")
+        text = text.replace("�", "")
+        if broken >= sum(c > "\x7f" for c in text):
+            return None
+        return text, cost + BROKEN * broken
+
+
 _TWO_ALPHABETS = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u06ff\u0e00-\u0e7f]|[\u0370-\u06ff\u0e00-\u0e7f][A-Za-z\u00c0-\u024f]")
 
 
@@ -270,6 +280,8 @@ _EDGES = re.compile(f"^([{PUNCTUATION}]*)(.*?)([{PUNCTUATION}]*)$", re.DOTALL)
 _BY_READ = {r: [(i, s) for i, s in enumerate(STATES) if s[1] == r and s[2] == 1] for r in READ_WITH}
 _TWICE = [(i, s) for i, s in enumerate(STATES) if s[2] == 2]
 
+_STAY: dict = {None: None}
+
 Spans = tuple[tuple[int, int], ...]
 
 
@@ -333,8 +345,9 @@ class Labeller:
                     continue
                 before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
                 beside = (score(left + run[:a]) if a else 0.0) + (score(run[b:] + right) if b < len(run) else 0.0)
+                raw, guessed = bytes([table[c] for c in part]), GUESSED * part.count("\ufffd")
                 for i, state in states:
-                    value = self._value(before, part, after, state, made := inverse(part, state))
+                    value = self._value(before, part, after, state, made := _decoded(raw, state[0], guessed))
                     if value is not None and value + beside > max(clean - 2 * ENTER, out[i][0] if i in out else -math.inf):
                         out[i] = (value + beside, ((a, b),), made[0])
             utf8 = next(((i, s) for i, s in states if s[0] == "utf-8"), None)
@@ -366,6 +379,11 @@ class Labeller:
         seen = False
         for a, b in runs:
             clean, others = self.emissions(text[a - 1] if a else " ", text[a:b], text[b] if b < len(text) else " ")
+            if not others and len(best) == 1:  # clean before and here
+                best[None] += clean
+                back.append(_STAY)
+                emitted.append(others)
+                continue
             seen = seen or bool(others)
             now, came = {}, {}
             arrive, source = best[None], None
