@@ -255,12 +255,13 @@ def _forms(parsed: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(entity_id, cluster): the least id reachable over pairs; a few rounds of joins, with lineage cut after each."""
-    both = cut(pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).distinct())
-    label = nodes.select("entity_id", F.col("entity_id").alias("cluster"))
+    """(entity_id, cluster): the least id reachable over pairs (a, b); a few rounds of joins, with lineage cut after each."""
+    both = cut(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b").distinct())
+    least = both.groupBy("a").agg(F.min("b").alias("least"))
+    label = nodes.join(least, nodes.entity_id == least.a, "left").select("entity_id", F.least("entity_id", F.coalesce("least", "entity_id")).alias("cluster"))
     while True:
-        reach = both.join(label, both.id_b == label.entity_id).groupBy("id_a").agg(F.min("cluster").alias("least"))
-        new = cut(label.join(reach, label.entity_id == reach.id_a, "left").select("entity_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("least", "cluster")).alias("cluster")))
+        reach = both.join(label, both.b == label.entity_id).groupBy("a").agg(F.min("cluster").alias("least"))
+        new = cut(label.join(reach, label.entity_id == reach.a, "left").select("entity_id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("least", "cluster")).alias("cluster")))
         label = new.select("entity_id", "cluster")
         if new.where("cluster < old").isEmpty():
             return label
@@ -272,32 +273,28 @@ def _middles_agree() -> Column:
 
 
 def _decided(matches: DataFrame, key: str) -> DataFrame:
-    """(key, cluster) where all matches (key, cluster, cost) at the key's lowest cost are records of one entity."""
-    m = matches.groupBy(key, "cluster").agg(F.min("cost").alias("cost"))
-    best = m.groupBy(key).agg(F.min("cost").alias("least"))
-    near = m.join(best, key).where(F.col("cost") <= F.col("least") + 0.05)
-    one = near.groupBy(key).agg(F.count("*").alias("n"), F.min("cluster").alias("cluster"))
-    return one.where("n = 1").select(key, "cluster")
+    """(key, cluster) where all matches (key, round, cost, cluster) of the key's first round at its lowest cost are records of one entity.
+
+    A key has as many matches as its forms bring, a few each.
+    """
+    m = matches.groupBy(key).agg(F.collect_list(F.struct("round", "cost", "cluster")).alias("m"))
+    m = m.select(key, F.filter("m", lambda x: x["round"] == F.array_min(F.transform("m", lambda y: y["round"]))).alias("m"))
+    near = F.filter("m", lambda x: x["cost"] <= F.array_min(F.transform("m", lambda y: y["cost"])) + 0.05)
+    return m.select(key, F.array_distinct(F.transform(near, lambda x: x["cluster"])).alias("c")).where("size(c) = 1").select(key, F.col("c")[0].alias("cluster"))
 
 
-def _held_by(registered: DataFrame, clusters: DataFrame, most: int) -> DataFrame:
-    """(form, o_cost, o_middle, cluster, rarity): the entities that have a form, at most `most` of each cost and middle name.
+def _matches(asked: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """(name, round, cost, cluster) of the names that share a form with an entity (form, middle, cluster, o_cost).
 
-    Whoever asks for a form wants to know whether one entity has it, so two of them (three, if the asker's own is to be left out) tell
-    as much as all: more could only tie with those. So no form grows with the records that share it.
+    A rewriting costs what it leaves out and how common its form is. Whoever asks for a form wants to know whether one entity has it,
+    so of the entities with one cost and middle name two (three, if the asker's own is to be left out) tell as much as all: more could
+    only tie with those. So no form grows with the records that share it.
     """
-    held = registered.join(clusters, "entity_id").groupBy("form", "middle", "cluster").agg(F.min("cost").alias("o_cost"))
     count = held.groupBy("form").agg(F.count_distinct("cluster").alias("n"))
     w = Window.partitionBy("form", "o_cost", "middle").orderBy("cluster")
     few = held.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
-    return few.join(count, "form").select("form", "o_cost", F.col("middle").alias("o_middle"), "cluster", (F.log("n") * RARITY).alias("rarity"))
-
-
-def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(name, round, cluster, cost) of the names that share a form with an entity; a rewriting costs what it leaves out and how common its form is."""
-    kinds = F.when(F.col("kind").isin(*STRONG), 1).otherwise(2)
-    hits = asked.join(held, "form").where(_middles_agree())
-    return hits.groupBy("name", kinds.alias("round"), "cluster").agg(F.min(F.col("cost") + F.col("o_cost") / 2 + F.col("rarity")).alias("cost"))
+    few = few.join(count, "form").select("form", "o_cost", F.col("middle").alias("o_middle"), "cluster", (F.log("n") * RARITY).alias("rarity"))
+    return asked.join(few, "form").where(_middles_agree()).select("name", F.when(F.col("kind").isin(*STRONG), 1).otherwise(2).alias("round"), (F.col("cost") + F.col("o_cost") / 2 + F.col("rarity")).alias("cost"), "cluster")
 
 
 def entity_clusters(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -319,22 +316,26 @@ def entity_clusters(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame
     strong = asked.where(F.col("own") & F.col("kind").isin(*STRONG)).join(least, "form").where(_middles_agree() & (F.col("cost") + F.col("o_cost") / 2 < 3))
     touched = strong.select("form", F.col("o_cost").alias("cost"), F.col("o_middle").alias("middle"), "rep").distinct()
     edges = strong.select("name", "rep").distinct().join(records, "name").select("entity_id", "rep").unionByName(touched.join(registered, group).select("entity_id", "rep"))
-    first = _components(edges.where("entity_id <> rep").select(F.least("entity_id", "rep").alias("id_a"), F.greatest("entity_id", "rep").alias("id_b")).distinct(), alone)
+    first = _components(edges.where("entity_id <> rep").select(F.col("entity_id").alias("a"), F.col("rep").alias("b")).distinct(), alone)
+    held = cut(registered.join(first, "entity_id").groupBy("form", "middle", "cluster").agg(F.min("cost").alias("o_cost")))
 
     # second round: records without a full name that stand alone, by what they leave out
     whole = registered.where("kind = 'full'").select("entity_id").distinct()
-    lone = first.groupBy("cluster").count().where("count = 1").select("cluster")
-    lonely = first.join(lone, "cluster").join(whole, "entity_id", "left_anti").select(F.col("entity_id").alias("asker"))
-    asking = lonely.join(records.withColumnRenamed("entity_id", "asker"), "asker")
-    weak = _matches(asked.where("own").join(asking.select("name").distinct(), "name", "left_semi"), _held_by(registered, first, 3)).where("round = 2")
-    bound = _decided(weak.join(asking, "name").where("asker <> cluster"), "asker")
-    more = bound.select(F.least("asker", "cluster").alias("id_a"), F.greatest("asker", "cluster").alias("id_b"))
-    base = first.select(F.least("entity_id", "cluster").alias("id_a"), F.greatest("entity_id", "cluster").alias("id_b")).where("id_a <> id_b")
-    clusters = _components(base.unionByName(more), alone)
-
-    hits = _matches(asked.join(typed.select("name").distinct(), "name", "left_semi"), _held_by(registered, clusters, 2))
-    best = hits.groupBy("name").agg(F.min("round").alias("best"))
-    chosen = _decided(hits.join(best, "name").where("round = best"), "name")
+    lone = first.groupBy("cluster").agg(F.count("*").alias("n"), F.min("entity_id").alias("asker")).where("n = 1").select("asker")
+    asking = cut(lone.join(whole, lone.asker == whole.entity_id, "left_anti").join(records.withColumnRenamed("entity_id", "asker"), "asker"))
+    weak = _matches(asked.where(F.col("own") & ~F.col("kind").isin(*STRONG)).join(asking.select("name").distinct(), "name", "left_semi"), held, 3)
+    bound = cut(_decided(weak.join(asking, "name").where("asker <> cluster"), "asker"))
+    if bound.select("asker").intersect(bound.select("cluster")).isEmpty():
+        clusters = first.join(bound.withColumnRenamed("cluster", "to"), first.cluster == bound.asker, "left")
+        # the least id names a cluster: one that gets a record of a lower id is named anew
+        lower = bound.groupBy("cluster").agg(F.min("asker").alias("l")).where("l < cluster").select(F.col("cluster").alias("c"), "l")
+        clusters = clusters.select("entity_id", F.coalesce("to", "cluster").alias("cluster")).join(lower, F.col("cluster") == F.col("c"), "left").select("entity_id", F.coalesce("l", "cluster").alias("cluster"))
+    else:
+        clusters = _components(bound.select(F.col("asker").alias("a"), F.col("cluster").alias("b")).unionByName(first.where("entity_id <> cluster").select(F.col("entity_id").alias("a"), F.col("cluster").alias("b"))), alone)
+    clusters = cut(clusters)
+    new = first.join(clusters.withColumnRenamed("cluster", "now"), "entity_id").where("cluster <> now").select("cluster", "now").distinct()
+    held = held.join(new, "cluster", "left").groupBy("form", "middle", F.coalesce("now", "cluster").alias("cluster")).agg(F.min("o_cost").alias("o_cost"))
+    chosen = _decided(_matches(asked.join(typed.select("name").distinct(), "name", "left_semi"), held, 2), "name")
     return clusters, typed.join(chosen, "name").select("mention_id", "cluster")
 
 
