@@ -1,14 +1,16 @@
 """Encoding of texts with a public byte-level BPE tokenizer, reusing content-defined chunks.
 
-A rolling hash over the last WINDOW characters cuts each text into chunks whose ends depend on content alone, so texts that
-share passages share chunks wherever the passages stand. Each distinct chunk is encoded once per Python worker and kept in a
-memo of bounded size. A chunk's ids hold only between its *seams*: positions between a visible character and a following blank
-or newline, where the pre-tokenizer always ends a word, whatever stands around. What lies outside a chunk's first and last seam
-is re-encoded together with its neighbour, and a neighbour without seams is taken in whole, so the repaired window grows until
-both its ends are seams; then the ids agree exactly with those of the whole text.
+A rolling hash over the last WINDOW characters proposes chunk ends that depend on content alone, so texts that share passages share
+chunks wherever the passages stand. A chunk's ids hold only between *seams*: positions between a visible character and a following
+blank or newline, where the pre-tokenizer always ends a word, whatever stands around. So each join of two chunks is repaired: the
+window around it grows until it ends at a seam, and chunks without a seam are taken into their neighbours. Each distinct repaired
+chunk is encoded once per Python worker and kept in a memo of bounded size, and the ids of a text are those of its chunks in a row.
+One text in CHECKED is encoded whole as well, and a disagreement fails the job.
 
-The memo is per worker on purpose: a table of chunks for the whole corpus would send every text byte through two shuffles and
-put a chunk that a third of all documents share into one task, to save an encoding that costs less than the shuffle.
+The memo is per worker on purpose: a table of chunks for the whole corpus sends every text byte through two shuffles and puts a
+chunk that a third of all documents share into one task, to save an encoding that costs less than the shuffle (figures in the README).
+
+Seams are a property of this family of rank files and their pattern; with a tokenizers JSON file each text is encoded whole.
 
 Defined results: a null text and an empty text give an empty array; repeated rows give repeated rows; strings of special tokens
 in a text are ordinary text; other columns are dropped; the schema is always (doc_id, ids).
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import os
-import re
+import zlib
 from functools import lru_cache
 from pathlib import Path
 
@@ -29,14 +31,25 @@ from pyspark.sql import functions as F
 
 from foliant.llm.arrowtools import int_lists, map_batches
 
-#: Characters under the rolling hash, and the bits of it that must be zero at a cut: chunks have 2**CUT_BITS characters on average.
-WINDOW, CUT_BITS = 8, 5
-#: Chunks and repaired windows a worker remembers; when full the memo starts anew, which changes time and never ids.
-MEMO_ENTRIES = 100_000
-#: Longer strings are encoded without being remembered, so the memo's bytes are bounded too.
+#: Characters under the rolling hash, and the bits of it that must be zero at a proposed end: chunks have some 2**CUT_BITS characters.
+WINDOW, CUT_BITS = 8, 4
+#: Chunks that a worker remembers; when full the memo starts anew, which changes time and never ids.
+MEMO_ENTRIES = 200_000
+#: Longer chunks are encoded without being remembered, so the memo's bytes are bounded too.
 MEMO_CHARS = 512
+#: One text in so many is encoded whole as well.
+CHECKED = 64
+
+
+def _visible() -> np.ndarray:
+    """By code point: whether a blank or newline behind it always begins a new word of the pre-tokenizer."""
+    out = np.zeros(0x110000, bool)
+    for a, b in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x3001, 0xD7FF)):
+        out[a : b + 1] = True
+    return out
 
-_SEAM = re.compile(r"(?<=[!-~\u00A1-\u00AC\u00AE-\u024F\u0370-\u052F\u2010-\u2027\u3001-\uD7FF])(?=[ \n])")
+
+_VISIBLE = _visible()
 
 
 def default_tokenizer() -> str:
@@ -65,70 +78,65 @@ def _raw(path: str):
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def cut_points(text: str, window: int = WINDOW, bits: int = CUT_BITS) -> np.ndarray:
-    """Chunk ends of a text by a rolling polynomial hash, the text's end included."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def chunk_ends(texts: list[str], window: int = WINDOW, bits: int = CUT_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the repaired chunks in the joined texts, each text's end among them; and the texts' ends."""
+    stops = np.cumsum([len(t) for t in texts])
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(c) <= window:
-        return np.array([len(c)])
+        return np.unique(stops[stops > 0]), stops
+    seam = np.zeros(len(c), bool)
+    seam[1:] = _VISIBLE[c[:-1]] & ((c[1:] == 32) | (c[1:] == 10))
+    starts = np.concatenate([[0], stops[:-1]])
+    seam[starts[starts < len(c)]] = False
+    seams = np.flatnonzero(seam)
     mixed = c * np.uint32(2654435761) + np.uint32(0x9E3779B9)
     h = np.zeros(len(c) - window + 1, dtype=np.uint32)
     for k in range(window):
         h = h * np.uint32(16777619) + mixed[k : k + len(h)]
     at = np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + window
-    return at if len(at) and at[-1] == len(c) else np.append(at, len(c))
+    owner = np.searchsorted(stops, at, side="left")
+    owner = np.minimum(owner, len(stops) - 1)
+    at, owner = at[inside := at - starts[owner] >= window], owner[inside]  # what stands before a text has no say
+    k = np.searchsorted(seams, at)
+    at, owner = seams[k[fine := k < len(seams)]], owner[fine]
+    return np.unique(np.concatenate([at[at < stops[owner]], stops[stops > 0]])), stops
 
 
 class ChunkEncoder:
     """Encodes texts by chunks; `raw` is the plain encoder of a list of texts."""
 
     def __init__(self, raw):
-        self.raw, self.memo, self.parts = raw, {}, {}
-
-    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of strings that begin and end at seams, each distinct one encoded once."""
-        new = list({p for p in pieces if p and p not in self.memo})
+        self.raw, self.memo = raw, {}
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text)."""
+        texts = [t or "" for t in texts]
+        joined = "".join(texts)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        ends, stops = chunk_ends(texts)
+        pieces = [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
         if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo, new = {}, list({p for p in pieces if p})
+            self.memo, new = {}, list(dict.fromkeys(pieces))
         fresh = dict(zip(new, (np.array(x, dtype=np.int32) for x in self.raw(new)))) if new else {}
-        self.memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
-        none = np.empty(0, dtype=np.int32)
-        return [none if not p else fresh[p] if p in fresh else self.memo[p] for p in pieces]
-
-    def split(self, chunk: str) -> tuple[str, str, str] | None:
-        """Head, core and tail of a chunk by its first and last seam; None if it has no seam."""
-        if chunk not in self.parts:
-            if len(self.parts) >= MEMO_ENTRIES:
-                self.parts = {}
-            seams = [m.start() for m in _SEAM.finditer(chunk)]
-            got = (chunk[: seams[0]], chunk[seams[0] : seams[-1]], chunk[seams[-1] :]) if seams else None
-            if len(chunk) > MEMO_CHARS:
-                return got
-            self.parts[chunk] = got
-        return self.parts[chunk]
-
-    def pieces(self, text: str) -> list[str]:
-        """The text as strings that each begin and end at a seam (or at the text's ends): cores of chunks and repaired joins."""
-        out, open_, at = [], [], 0
-        for end in cut_points(text).tolist():
-            chunk, at = text[at:end], end
-            got = self.split(chunk)
-            if got is None:
-                open_.append(chunk)
-                continue
-            open_.append(got[0])
-            out += ("".join(open_), got[1])
-            open_ = [got[2]]
-        out.append("".join(open_))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        flat = self.ids_of([p for s in split for p in s])
-        out, at = [], 0
-        for s in split:
-            out.append(np.concatenate(flat[at : at + len(s)]) if s else np.empty(0, dtype=np.int32))
-            at += len(s)
-        return out
+        self.memo.update(fresh)
+        memo = self.memo
+        parts = [memo[p] for p in pieces]
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del memo[p]
+        flat = np.concatenate(parts)
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        at = sizes[np.searchsorted(ends, stops, side="right")]
+        return flat, np.diff(at, prepend=0)
+
+    def check(self, texts: list[str | None], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Encodes one text in CHECKED, chosen by its hash, whole and compares."""
+        stops = np.cumsum(lengths)
+        for i, t in enumerate(texts):
+            if t and zlib.crc32(t[:64].encode("utf-8", "surrogatepass")) % CHECKED == 0 and self.raw([t])[0] != flat[stops[i] - lengths[i] : stops[i]].tolist():
+                raise ValueError("chunked and whole encoding disagree: the tokenizer does not end words at seams")
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -145,9 +153,15 @@ def token_ids(docs: DataFrame, tokenizer: str | Path | None = None, id_col: str
     path = str(tokenizer or default_tokenizer())
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _encoder(path).encode(b.column(1).to_pylist())
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if len(ids) else np.empty(0, dtype=np.int32)
+        texts = b.column(1).to_pylist()
+        if path.endswith(".tiktoken"):
+            tool = _encoder(path)
+            flat, lengths = tool.encode(texts)
+            tool.check(texts, flat, lengths)
+        else:
+            ids = _raw(path)([t or "" for t in texts])
+            lengths = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.array([i for x in ids for i in x], dtype=np.int32)
         return pa.RecordBatch.from_arrays([b.column(0), int_lists(flat, lengths)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

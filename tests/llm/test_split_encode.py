@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -59,17 +60,22 @@ RAW = encode._raw(encode.default_tokenizer())
 JSON = encode._raw(encode.default_tokenizer().replace(".tiktoken", ".json"))
 
 
+def lists(got):
+    flat, lengths = got
+    return [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=120), st.text(alphabet="ab \n'sé日。", max_size=300)), min_size=1, max_size=6))
 def test_chunked_ids_equal_plain_ids(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     tool = encode.ChunkEncoder(RAW)
-    assert [x.tolist() for x in tool.encode(texts)] == RAW(texts) == [list(x) for x in JSON(texts)]
+    assert lists(tool.encode(texts)) == RAW(texts) == [list(x) for x in JSON(texts)]
 
 
 def test_chunks_are_shared_and_cut_by_content():
     body = "The quick brown fox jumps over the lazy dog near the river bank at dawn. " * 20
-    a, b = encode.cut_points("xyz " + body), encode.cut_points(body)
+    a, b = encode.chunk_ends(["xyz " + body])[0], encode.chunk_ends([body])[0]
     assert len({*(a - 4).tolist()} & {*b.tolist()}) > 0.9 * len(b) - 2
     calls = []
     tool = encode.ChunkEncoder(lambda ts: calls.extend(ts) or RAW(ts))
@@ -86,12 +92,22 @@ def test_ids_edges(spark):
     assert encode.token_ids(df.limit(0)).count() == 0
 
 
+def test_disagreement_fails_the_job(monkeypatch):
+    monkeypatch.setattr(encode, "CHECKED", 1)
+    tool = encode.ChunkEncoder(lambda ts: [[len(t)] for t in ts])  # no tokenizer that ends words at seams
+    texts = ["alpha beta gamma delta epsilon " * 9]
+    with pytest.raises(ValueError):
+        tool.check(texts, *tool.encode(texts))
+    own = encode.ChunkEncoder(RAW)
+    own.check(texts, *own.encode(texts))
+
+
 def test_memo_restart_changes_nothing(monkeypatch):
     monkeypatch.setattr(encode, "MEMO_ENTRIES", 5)
     random.seed(1)
     texts = [" ".join(random.choice(["alpha", "beta", "gamma,", "delta.\n"]) for _ in range(80)) for _ in range(30)]
     tool = encode.ChunkEncoder(RAW)
-    assert [x.tolist() for t in texts for x in tool.encode([t])] == RAW(texts)
+    assert [x for t in texts for x in lists(tool.encode([t]))] == RAW(texts)
 
 
 @pytest.mark.parametrize("sf_name", ["sf0.001"])
