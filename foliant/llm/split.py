@@ -1,7 +1,8 @@
 """Splitting oversized items at natural boundaries, by agglomerative merging.
 
-Each oversized text is taken apart into atomic segments (words with the white space after them; a word too long for a piece is
-cut by characters). All adjacent pairs stand in a heap ordered by the strength of the boundary between them (inside a word,
+Each oversized text is taken apart into atomic segments (words with the white space after them, and where no spaces are written what
+stands between the marks that end sentences and clauses; one too long for a piece is cut by characters, never before a combining
+mark). All adjacent pairs stand in a heap ordered by the strength of the boundary between them (inside a word,
 word, clause, sentence, paragraph) and then by their combined size, and are merged weakest first while the combined size plus
 the overlap fits the limit. What cannot merge any more becomes the pieces, in order; each but the first is preceded by the end
 of the one before, from a word start at most the overlap back.
@@ -18,17 +19,18 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ATOM = re.compile(r"\s*\S+\s*|\s+")
-_CLOSERS = "\"'”’»)]}」』"
+_CLOSERS = "\"'”’»)]}」』）】〉》"
+_ATOM = re.compile(rf"\s*(?:[^\s。！？、，；：]+(?:[。！？、，；：]+[{re.escape(_CLOSERS)}]*)?|[。！？、，；：]+[{re.escape(_CLOSERS)}]*)\s*|\s+")
 _PARAGRAPH, _SENTENCE, _CLAUSE, _WORD, _INSIDE = 4, 3, 2, 1, 0
 
-#: Kinds of items, which bounds the settings that go to every executor.
+#: Kinds of items up to which the limits go to every executor; more are joined by shuffle.
 MOST_KINDS = 1000
 
 PIECES = "item_kind string, item_id string, piece_no int, n_pieces int, start int, overlap_chars int, estimated_tokens int, text string"
@@ -47,6 +49,14 @@ def _strength(before: str) -> int:
     return _CLAUSE if word[-1:] and word[-1] in ",;:—、，；：" else _WORD
 
 
+def _character_end(text: str, start: int, end: int) -> int:
+    """The last place up to `end` where no combining mark, joiner or variation selector follows; `end` itself if there is none after start."""
+    at = end
+    while at > start + 1 and at < len(text) and (unicodedata.combining(text[at]) or text[at] in "\u200c\u200d\ufe0e\ufe0f" or text[at - 1] == "\u200d"):
+        at -= 1
+    return at if at > start + 1 or end == start + 1 else end
+
+
 def split_text(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int, int]]:
     """Pieces of a text as (start, core start, end): a piece is text[start:end], its overlap text[start:core start]."""
     limit = 4 * max_tokens
@@ -58,7 +68,7 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[in
     at = 0
     for m in _ATOM.finditer(text):
         while m.end() - at > room:
-            at += room
+            at = _character_end(text, at, at + room)
             ends.append(at)
         if m.end() > at:
             ends.append(m.end())
@@ -101,10 +111,10 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     `limits` has one row a kind. Columns of the result: item_kind, item_id, piece_no (from 0), n_pieces, start (of the piece's own
     part in the item), overlap_chars (repeated from the piece before), estimated_tokens, text.
     """
-    if limits.select("item_kind").distinct().limit(MOST_KINDS + 1).count() > MOST_KINDS:
-        raise ValueError("limits are a table of settings, one row a kind")
     bound = limits.groupBy("item_kind").agg(F.min("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
-    rows = items.select("item_kind", "item_id", "text").where(F.length("text") > 0).join(F.broadcast(bound), "item_kind", "left")
+    if bound.limit(MOST_KINDS + 1).count() <= MOST_KINDS:
+        bound = F.broadcast(bound)
+    rows = items.select("item_kind", "item_id", "text").where(F.length("text") > 0).join(bound, "item_kind", "left")
     size = F.ceil(F.length("text") / F.lit(4)).cast("int")
     over = F.coalesce(size > F.col("max_tokens"), F.lit(False))
     whole = rows.where(~over).dropDuplicates(["item_kind", "item_id", "text"]).select(

@@ -115,3 +115,14 @@ def test_whole_table_equals_plain_encoding(spark, sf_name):
     df = spark.read.parquet(f"/root/testdata/{sf_name}/documents.parquet")
     want = {r.doc_id: RAW([r.text])[0] if r.text else [] for r in df.select("doc_id", "text").collect()}
     assert {r.doc_id: r.ids for r in encode.token_ids(df).collect()} == want
+
+
+def test_texts_without_spaces_are_cut_at_sentence_ends():
+    sentence = "彼女は古い城の夢を見て、静かな扉を開けた。"
+    text = sentence * 80
+    pieces = split.split_text(text, 100, 20)
+    assert all(b - a <= 400 for a, _, b in pieces) and all(text[b - 1] in "。、" for _, _, b in pieces)
+    assert "".join(text[c:b] for _, c, b in pieces) == text and sum(text[b - 1] == "。" for _, _, b in pieces) > len(pieces) / 2
+    marks = "e\u0301" * 900
+    assert all(marks[c] == "e" for _, c, _ in split.split_text(marks, 50, 0))
+    assert "".join(marks[c:b] for _, c, b in split.split_text(marks, 50, 0)) == marks
