@@ -335,6 +335,7 @@ class Labeller:
             return 0.0, {}  # only the clean state can have made it, whatever its likelihood
         clean, out = score(left + run + right), {}
         readings = [r for r in READ_WITH if not chars.isdisjoint(_beyond_ascii[r])]
+        valued: dict[tuple, tuple] = {}
         lead, core, tail = _EDGES.match(run).groups() if readings and len(run) > 1 else ("", "", "")
         cores = {(a, b) for a in (0, len(lead)) for b in (len(run), len(run) - len(tail))} if core else {(0, len(run))}
         for read in readings:
@@ -347,7 +348,11 @@ class Labeller:
                 beside = (score(left + run[:a]) if a else 0.0) + (score(run[b:] + right) if b < len(run) else 0.0)
                 raw, guessed = bytes([table[c] for c in part]), GUESSED * part.count("\ufffd")
                 for i, state in states:
-                    value = self._value(before, part, after, state, made := _decoded(raw, state[0], guessed))
+                    got = valued.get(same := (raw, state[0], a, b))  # readings often agree on the bytes
+                    if got is None:
+                        made = _decoded(raw, state[0], guessed)
+                        got = valued[same] = (self._value(before, part, after, state, made), made)
+                    value, made = got
                     if value is not None and value + beside > max(clean - 2 * ENTER, out[i][0] if i in out else -math.inf):
                         out[i] = (value + beside, ((a, b),), made[0])
             utf8 = next(((i, s) for i, s in states if s[0] == "utf-8"), None)
