@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -39,6 +39,12 @@ def parse_chain(value: str) -> list[tuple[str, str]]:
     return out
 
 
+def chains(value: Column) -> Column:
+    """parse_chain as a Column: an array of (provider, model)."""
+    parts = F.filter(F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.*):[^:]*$", 1)).alias("provider"), F.trim(F.regexp_extract(p, r"([^:]*)$", 1)).alias("model")))
+
+
 @dataclass
 class Failover:
     """Models in order of preference; a model whose daily quota is spent is not asked again."""
@@ -126,22 +132,3 @@ def titles_to_translate(titles: DataFrame, cache: DataFrame) -> DataFrame:
     have = cache.select("doc_id", "title", F.col("translated").alias("cached")).dropDuplicates(["doc_id", "title"])
     rows = titles.select("doc_id", "title").distinct().join(have, ["doc_id", "title"], "left")
     return rows.select("doc_id", "title", F.coalesce(T.label_title(F.col("title")), "cached").alias("translated"))
-
-
-def research(entity: str, kind: str, search: Callable[[str, int], list[dict]], enough: Callable[[list[dict]], bool], novel: str | None = None, author: str | None = None, attempts: int = 4, n: int = 5) -> list[dict]:
-    """Results for an entity: attempts widen the query until the results are enough; a query is never sent twice in a row."""
-    words = {"character": "character", "place": "location", "organization": "organization", "item": "item", "skill": "skill", "race": "race", "title": "title"}
-    found: list[dict] = []
-    last = None
-    for k in range(1, attempts + 1):
-        query = f'"{entity}"' + (f" {words[kind]}" if kind in words else "") + (f' "{novel}"' if novel else "") + (f' "{author}"' if author and k >= 2 else "")
-        if query == last:
-            continue
-        last = query
-        try:
-            found = search(query, n)[:n]
-        except (RuntimeError, OSError):
-            found = []
-        if found and enough(found):
-            return found
-    return found

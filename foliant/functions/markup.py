@@ -13,14 +13,27 @@ def mark_indonesian(html: Column) -> Column:
     return F.regexp_replace(html, r'((?:xml:)?lang=)(["\'])en(?:-[A-Za-z]+)?\2', "$1$2id$2")
 
 
+# Style of a centred image, openings of chapter labels, the sign of a line break in a title.
+IMAGE_STYLE = "display:block;margin:0 auto;width:100%;height:auto"
+LABEL_OPENINGS = ("Bab", "Chapter", "Extra Chapter")
+TITLE_BREAK = "\u241e"
+_OPEN_QUOTE = r'(="[^"<>\n]*?)/>'
+
+
 def repaired(html: Column) -> Column:
     """A page with the quote closed that is missing before the end of an empty element."""
-    return F.regexp_replace(html, r'(<[^<>"]*(?:"[^"<>]*"[^<>"]*)*="[^"<>]*?)\s*/>', '$1"/>')
+    return F.regexp_replace(html, _OPEN_QUOTE, '$1"/>')
+
+
+def repairs(html: Column) -> Column:
+    """How many quotes `repaired` closes."""
+    return F.regexp_count(html, F.lit(_OPEN_QUOTE))
 
 
 def centered_images(html: Column) -> Column:
-    """A page whose images without a style of their own are centred."""
-    return F.regexp_replace(html, r"(?i)<img(?![^>]*\bstyle=)\b", '<img style="display:block;margin:0 auto"')
+    """A page whose images fill the width and are centred; a style of an image's own stands behind that."""
+    styled = F.regexp_replace(html, r'(<img\b[^>]*?\sstyle=")', f"$1{IMAGE_STYLE};")
+    return F.regexp_replace(styled, r'<img\b(?![^>]*\sstyle=")([^>]*?)(/?)>', f'<img$1 style="{IMAGE_STYLE}"$2>')
 
 
 def stylesheet_links(html: Column) -> Column:
@@ -30,13 +43,35 @@ def stylesheet_links(html: Column) -> Column:
     return F.filter(F.transform(sheets, lambda x: F.regexp_extract(x, r'(?i)\bhref\s*=\s*["\']([^"\']*)["\']', 1)), lambda h: h != "")
 
 
+_LABEL = rf"^((?:{'|'.join(LABEL_OPENINGS)})[^:]*?):\s*"
+
+
 def chapter_label(title: Column) -> Column:
     """The label of `Bab N: name`, empty where there is none."""
-    return F.regexp_extract(title, r"(?i)^\s*((?:Bab|Chapter)\s+\d+)\s*:?", 1)
+    return T.strip(F.regexp_extract(title, _LABEL, 1))
 
 
 def without_label(title: Column) -> Column:
-    return T.strip(F.regexp_replace(title, r"(?i)^\s*(?:Bab|Chapter)\s+\d+\s*:\s*", ""))
+    return F.regexp_replace(title, _LABEL, "")
+
+
+def title_lines(title: Column) -> Column:
+    """A title with its label on a line of its own."""
+    return F.when(title.rlike(_LABEL), F.concat(chapter_label(title), F.lit(TITLE_BREAK), without_label(title))).otherwise(title)
+
+
+def coerced(value: Column, kind: str) -> Column:
+    """A setting as a bool, int, double or string; null where it cannot be read."""
+    return truth(value) if kind == "bool" else T.strip(value) if kind == "string" else T.strip(value).try_cast(kind)
+
+
+def safe_name(value: Column) -> Column:
+    """Whether a name given from outside stays inside its folder."""
+    return F.coalesce((T.strip(value) != "") & ~value.rlike(r"[/\\\x00]") & ~value.rlike(r"^\.+$"), F.lit(False))
+
+
+def download_name(title: Column, suffix: Column) -> Column:
+    return F.concat(T.safe_title(title), F.lit("."), F.lower(suffix))
 
 
 def truth(value: Column) -> Column:

@@ -44,6 +44,11 @@ def keeps_source(c: Column | str) -> Column:
     return ~t.rlike(r"\p{L}") | t.rlike(r"(?i)^(https?://|www\.)\S+$")
 
 
+def kept_source(sources: Column, translations: Column) -> Column:
+    """Translations with the source where it needs none; arrays of another length stay as they are."""
+    return F.when(F.size(sources) == F.size(translations), F.zip_with(sources, translations, lambda s, t: F.when(F.coalesce(keeps_source(s), F.lit(False)), s).otherwise(t))).otherwise(translations)
+
+
 def paragraph_count(c: Column | str) -> Column:
     """Lines of a text, 0 for an empty one."""
     col = F.col(c) if isinstance(c, str) else c

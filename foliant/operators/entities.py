@@ -17,12 +17,16 @@ def category(entity_type: Column) -> Column:
     return F.when(entity_type.isin(*CHARACTER_TYPES), "characters").when(entity_type.isin(*PROPER_NOUN_TYPES), "proper_nouns")
 
 
+def normal_type(entity_type: Column) -> Column:
+    """A type in lower case; unknown ones are proper_noun."""
+    kind = F.lower(T.strip(entity_type))
+    return F.when(kind.isin(*CHARACTER_TYPES, *PROPER_NOUN_TYPES), kind).otherwise("proper_noun")
+
+
 def normal_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions once each, without blank texts; unknown types become proper_noun, confidence lies in [0, 1] and is 0 where missing."""
-    kind = F.lower(T.strip("entity_type"))
-    known = kind.isin(*CHARACTER_TYPES, *PROPER_NOUN_TYPES)
     c = F.coalesce(F.col("confidence"), F.lit(0.0))
-    return mentions.where(T.strip("text") != "").distinct().withColumn("entity_type", F.when(known, kind).otherwise("proper_noun")).withColumn(
+    return mentions.where(T.strip("text") != "").distinct().withColumn("entity_type", normal_type(F.col("entity_type"))).withColumn(
         "confidence", F.when(F.isnan(c), 0.0).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))))
 
 
@@ -72,6 +76,17 @@ def evidence(entities: DataFrame) -> DataFrame:
     return rows.select("entity_id", "n", "r.url", "r.snippet", "r.confidence", score.alias("score")).withColumn("valid", F.col("score") >= 0.5)
 
 
+def with_paragraphs(mentions: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Mentions with the text of their source paragraph; of paragraphs that share an id the first counts, and a missing one gives a null."""
+    first = paragraphs.groupBy(F.col("paragraph_id").alias("source_paragraph_id")).agg(F.min_by("text", F.struct("doc_id", "pos")).alias("paragraph_text"))
+    return mentions.join(first, "source_paragraph_id", "left")
+
+
+def counted(entities: DataFrame) -> DataFrame:
+    """(category, n): registered records of each category."""
+    return entities.select("entity_id", category(normal_type(F.col("entity_type"))).alias("category")).distinct().groupBy("category").agg(F.count("*").alias("n"))
+
+
 def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Each distinct mention with its entity and status: known where a name or alias is registered, research_failed where that record
     says so, else new."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.prefix import forward_fill
 
 
 def updated_labels(points: DataFrame, titles: DataFrame) -> DataFrame:
@@ -46,19 +47,20 @@ def book_part(idrefs: DataFrame, manifest: DataFrame, spine: DataFrame) -> tuple
     return manifest.join(keys.withColumnRenamed("idref", "item_id"), ["doc_id", "item_id"], "left_semi").unionByName(others), of_spine
 
 
-def backed_off_starts(starts: DataFrame, paragraphs: DataFrame, reach: int = 5) -> DataFrame:
-    """Starts (doc_id, start, title) moved back over paragraphs right before them whose squashed text (six characters or more) is part of
-    the title, at most `reach` of them and never into the chapter before."""
-    w = Window.partitionBy("doc_id").orderBy("start")
-    s = starts.withColumn("floor", F.coalesce(F.lag("start").over(w) + 1, F.lit(0)))
-    before = s.select("doc_id", "start", "title", "floor", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")).withColumn("pos", F.col("start") - F.col("k")).where("pos >= floor")
-    texts = paragraphs.select("doc_id", "pos", T.squash("text").alias("sq"))
-    near = before.join(texts, ["doc_id", "pos"], "left")
-    part = (F.length("sq") >= 6) & F.contains(T.squash("title"), F.col("sq"))
-    per = near.groupBy("doc_id", "start").agg(F.min(F.when(~F.coalesce(part, F.lit(False)), F.col("k"))).alias("stop"), F.max("k").alias("most"))
-    rows = s.join(per, ["doc_id", "start"], "left")
-    moved = F.coalesce(F.col("stop") - 1, F.col("most"), F.lit(0))
-    return rows.select("doc_id", (F.col("start") - moved).cast("int").alias("start"), "title")
+def backed_off_starts(starts: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Starts (doc_id, start, title) moved back over the paragraphs right before them whose squashed text (six characters or more) is
+    part of the title, however many, and never into the chapter before. A missing position stops the way back."""
+    rows = paragraphs.select("doc_id", "pos", T.squash("text").alias("sq")).join(starts.withColumn("pos", F.col("start")), ["doc_id", "pos"], "full_outer")
+    # backwards, each paragraph meets the next start first
+    back = rows.withColumn("back", -F.col("pos"))
+    ahead = forward_fill(forward_fill(back, ["doc_id"], "back", "start", "next"), ["doc_id"], "back", "title", "its_title").where(F.col("next").isNotNull() & (F.col("pos") < F.col("next")))
+    stops = ahead.where(~F.coalesce((F.length("sq") >= 6) & F.contains(T.squash("its_title"), F.col("sq")), F.lit(False)) | F.col("start").isNotNull())
+    stop = stops.groupBy("doc_id", F.col("next").alias("start")).agg(F.max("pos").alias("stop"))
+    # paragraphs between the stop and the start must be there without a gap
+    between = ahead.join(stop.withColumnRenamed("start", "next"), ["doc_id", "next"], "left").where(F.coalesce(F.col("pos") > F.col("stop"), F.lit(True)))
+    run = between.groupBy("doc_id", F.col("next").alias("start")).agg(F.count("*").alias("n"), F.min("pos").alias("low"))
+    moved = F.when(F.col("n") == F.col("start") - F.col("low"), F.col("low")).otherwise(F.col("start"))
+    return starts.join(run, ["doc_id", "start"], "left").select("doc_id", F.coalesce(moved, "start").cast("int").alias("start"), "title")
 
 
 def carried(chunks: DataFrame, step, state_schema: str = "state string", key: str = "chapter_id", order: str = "chunk_no") -> DataFrame:

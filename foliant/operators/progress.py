@@ -33,13 +33,16 @@ def chapter_status(chunks: DataFrame, progress: DataFrame) -> DataFrame:
     return rows.select("chapter_id", "total", "done", "flagged", status.alias("status"), F.bround(100 * F.col("done") / F.col("total"), 0).cast("int").alias("percent"))
 
 
-def summary(status: DataFrame) -> DataFrame:
-    """One row over all chapters: counts, percent with ties to even, and the first chapter in progress."""
-    return status.agg(
+def summary(status: DataFrame, progress: DataFrame) -> DataFrame:
+    """One row over all chapters: counts, percent with ties to even, and of the chapters in progress the one whose state was saved last
+    (of equals the first)."""
+    touched = progress.groupBy("chapter_id").agg(F.unix_micros(F.max(F.col("saved_at").cast("timestamp"))).alias("touched"))
+    late = F.struct(-F.coalesce("touched", F.lit(0)), "chapter_id")
+    return status.join(touched, "chapter_id", "left").agg(
         F.count("*").alias("chapters"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "in_progress").alias("in_progress"),
         F.count_if(F.col("status") == "not_started").alias("not_started"), F.sum("total").cast("bigint").alias("chunks"), F.sum("done").cast("bigint").alias("done"),
         F.sum("flagged").cast("bigint").alias("flagged"), F.bround(100 * F.sum("done") / F.sum("total"), 0).cast("int").alias("percent"),
-        F.min(F.when(F.col("status") == "in_progress", F.col("chapter_id"))).alias("active"))
+        F.min_by("chapter_id", F.when((F.col("status") == "in_progress") & (F.col("total") > 0), late)).alias("active"))
 
 
 def pending(chunks: DataFrame, progress: DataFrame) -> DataFrame:

@@ -95,6 +95,22 @@ def story_flags(chapters: DataFrame, book_title: Column) -> DataFrame:
     return rows.join(every, "doc_id").withColumn("is_matter", F.col("__m") & ~F.col("__all")).drop("__m", "__all")
 
 
+def visible(chapters: DataFrame, book_title: Column) -> DataFrame:
+    """Chapters that are story."""
+    return story_flags(chapters, book_title).where("not is_matter").drop("is_matter")
+
+
+def without_navigation(spine: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A spine (doc_id, pos, idref) without the items that the manifest marks as navigation: an anti join."""
+    nav = manifest.where(F.array_contains(F.split(F.coalesce("properties", F.lit("")), r"\s+"), "nav")).select("doc_id", F.col("item_id").alias("idref"))
+    return spine.join(nav, ["doc_id", "idref"], "left_anti")
+
+
+def worth_scanning(chapters: DataFrame, paragraphs: int = 10) -> DataFrame:
+    """Chapters (with n_paragraphs) long enough to be scanned for names."""
+    return chapters.where(F.col("n_paragraphs") >= paragraphs)
+
+
 def chapter_bounds(starts: DataFrame, totals: DataFrame) -> DataFrame:
     """(doc_id, chapter_no, start, stop): half-open bounds of chapters from their starts; text before the first is chapter 0."""
     w = Window.partitionBy("doc_id").orderBy("start")

@@ -53,7 +53,7 @@ def q05_chapter_status(spark, sf):
 
 
 def q05_status_summary(spark, sf):
-    return progress.summary(q05_chapter_status(spark, sf))
+    return progress.summary(q05_chapter_status(spark, sf), table(spark, sf, "progress"))
 
 
 def q06_chapter_stats(spark, sf):

@@ -114,6 +114,12 @@ def _english(c: str) -> str:
     return f"len(list_filter(regexp_split_to_array({text}, '[.!?]+'), lambda s: {ok})) > 0"
 
 
+def _matter(t: str) -> str:
+    return f"""f AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(doc_id), '[^a-z0-9]', '', 'g') AS b FROM {t}),
+y AS (SELECT doc_id, chapter_no, title, (a <> '' AND b <> '' AND starts_with(a, b) AND length(a) - length(b) < 10)
+  OR regexp_matches(title, '\\b(cover|sampul|title page|copyright|colou?r gallery|illustrations?|afterword|table of contents|contents|credits|map|about the author|translator''?s note|author''?s note|promo|bonus)\\b', 'i') AS m FROM f)"""
+
+
 def _blank(c: str) -> str:
     return f"{_strip(c)} = ''"
 
@@ -144,9 +150,10 @@ FROM (SELECT DISTINCT chapter_id, chunk_id, text FROM chunks WHERE text IS NOT N
 WHERE NOT regexp_matches(text, '\p{{L}}') OR regexp_matches({_strip('text')}, '^(https?://|www\.)\S+$', 'i')""",
     "q05_chapter_status": f"WITH {_STATUS} SELECT * FROM st",
     "q05_status_summary": f"""
-WITH {_STATUS} SELECT count(*) AS chapters, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'in_progress') AS in_progress,
+WITH {_STATUS}, to_ AS (SELECT chapter_id, max(saved_at) AS touched FROM progress GROUP BY chapter_id)
+SELECT count(*) AS chapters, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'in_progress') AS in_progress,
   count(*) FILTER (status = 'not_started') AS not_started, CAST(sum(total) AS BIGINT) AS chunks, CAST(sum(done) AS BIGINT) AS done, CAST(sum(flagged) AS BIGINT) AS flagged,
-  CAST(round_even(100 * sum(done) / sum(total), 0) AS INTEGER) AS percent, min(CASE WHEN status = 'in_progress' THEN chapter_id END) AS active FROM st""",
+  CAST(round_even(100 * sum(done) / sum(total), 0) AS INTEGER) AS percent, arg_min(chapter_id, {{'a': -epoch_us(coalesce(touched, TIMESTAMP '1970-01-01')), 'b': chapter_id}}) FILTER (status = 'in_progress' AND total > 0) AS active FROM st LEFT JOIN to_ USING (chapter_id)""",
     "q06_chapter_stats": f"WITH {_STATS} SELECT * FROM cs",
     "q06_run_summary": f"""
 WITH {_STATS} SELECT chunks, completed, flagged, cache_hits, attempts, retries, issues, CAST(round_even(100 * completed / chunks, 0) AS INTEGER) AS percent FROM cs WHERE chapter_id IS NULL""",
@@ -208,9 +215,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, idref
 FROM y WHERE {_norm('title')} NOT IN ('contents', 'table of contents', 'toc', 'daftar isi', 'isi', 'daftar kandungan') AND NOT regexp_matches(lower(idref), 'toc|contents|tableofcontents|daftarisi')""",
     "q29_story_flags": f"""
 WITH {_HEADINGS}, t AS (SELECT doc_id, chapter_no, any_value(title) AS title FROM ch GROUP BY doc_id, chapter_no),
-f AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(doc_id), '[^a-z0-9]', '', 'g') AS b FROM t),
-y AS (SELECT doc_id, chapter_no, title, (a <> '' AND b <> '' AND starts_with(a, b) AND length(a) - length(b) < 10)
-  OR regexp_matches(title, '\\b(cover|sampul|title page|copyright|colou?r gallery|illustrations?|afterword|table of contents|contents|credits|map|about the author|translator''?s note|author''?s note|promo|bonus)\\b', 'i') AS m FROM f)
+{_matter('t')}
 SELECT doc_id, chapter_no, title, m AND NOT bool_and(m) OVER (PARTITION BY doc_id) AS is_matter FROM y""",
     "q30_distributed_runs": """
 WITH r AS (SELECT DISTINCT paragraph_id, list_transform(runs, lambda r: length(coalesce(r.text, ''))) AS l FROM paragraphs WHERE len(runs) > 0),

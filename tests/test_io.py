@@ -125,10 +125,28 @@ def test_retry_passes(spark):
     assert sorted((r.id, r.attempts, r.passed, r.flagged) for r in done.collect()) == [(0, 1, True, False), (1, 1, True, False), (2, 2, True, False), (3, 2, True, False), (4, 2, False, True), (5, 2, False, True)]
 
 
-def test_research_widens_and_stops():
-    asked = []
-    got = external.research("Ann", "place", lambda q, n: asked.append(q) or [{"q": q}] * 9, lambda r: len(asked) == 2, novel="N", author="A")
-    assert asked == ['"Ann" location "N"', '"Ann" location "N" "A"'] and len(got) == 5
+def test_research_widens_and_stops(spark):
+    from foliant.operators import model_calls as C
+
+    def clients():
+        return lambda q, n: [{"title": q, "source": "s"}] * 9, lambda name, q, found: [7, 0, 0, 99] if name == "Bob" or '"A"' in q else []
+
+    got = {r.name: (r.query, r.n_queries, len(r.results)) for r in C.researched(spark.createDataFrame([("Ann", "place"), ("Bob", "poem")], "name string, kind string"), clients, "N", "A").collect()}
+    assert got == {"Ann": ('"Ann" location "N" "A"', 2, 2), "Bob": ('"Bob" "N"', 1, 2)}
+
+
+def test_model_policy():
+    from foliant.operators.model_calls import Retrying
+
+    seen = []
+    answers = [(500, None, "x"), (429, 90.0, "busy"), (200, None, "ok")]
+    client = Retrying(lambda p: answers[min(len(seen), 2)] if not seen.append(p) and False else answers[len(seen) - 1])
+    assert client("p") == "ok" and (client.attempts, client.waited) == (3, 62.0)
+    for status, body in ((429, "quota exceeded: requests per day"), (404, "no"), (503, "down")):
+        client = Retrying(lambda p, s=status, b=body: (s, None, b))
+        with pytest.raises(external.Unavailable):
+            client("p")
+        assert client.attempts == (3 if status == 503 else 1)
 
 
 def test_streams(spark, sf, tmp_path):

@@ -12,7 +12,9 @@ def test_markup(spark):
     assert one(spark, M.mark_indonesian(F.lit('<html lang="en-US" xml:lang="en"><p lang="fr">'))) == '<html lang="id" xml:lang="id"><p lang="fr">'
     assert one(spark, M.repaired(F.lit('<img src="a.png" alt="x/><br/>'))) == '<img src="a.png" alt="x"/><br/>'
     assert one(spark, M.repaired(F.lit('<img src="a.png"/>'))) == '<img src="a.png"/>'
-    assert one(spark, M.centered_images(F.lit('<img src="a"/><img style="x" src="b"/>'))).count("margin") == 1
+    assert one(spark, M.centered_images(F.lit('<img src="a"/><img style="x" src="b"/>'))).count("margin") == 2
+    assert one(spark, M.centered_images(F.lit('<img src="b" style="x"/>'))) == f'<img src="b" style="{M.IMAGE_STYLE};x"/>'
+    assert one(spark, M.chapter_label(F.lit("Extra Chapter: Malam"))) == "Extra Chapter" and one(spark, M.chapter_label(F.lit("Bab 3"))) == "" and one(spark, M.repairs(F.lit('<a b="c/><a b="c"/>'))) == 1
     assert one(spark, M.stylesheet_links(F.lit('<link rel="stylesheet" href="a.css"/><link href="b.css" rel="alternate stylesheet"><link rel="icon" href="c">'))) == ["a.css", "b.css"]
     assert one(spark, M.chapter_label(F.lit("Bab 3: Malam"))) == "Bab 3" and one(spark, M.without_label(F.lit("Bab 3: Malam"))) == "Malam"
     assert [one(spark, M.truth(F.lit(v))) for v in (" YES", "on", "0", "no")] == [True, True, False, False] and one(spark, M.truth(F.lit(None).cast("string"))) is None
@@ -38,8 +40,8 @@ def test_labels_titles_media_parts(spark):
 
 
 def test_starts_back_off_over_title_lines(spark):
-    p = spark.createDataFrame([("d", i, t) for i, t in enumerate(["x", "The Long Night", "y", "Chapter Two", "The Dawn", "z"])], "doc_id string, pos int, text string")
-    s = spark.createDataFrame([("d", 2, "The Long Night"), ("d", 5, "Chapter Two: The Dawn")], "doc_id string, start int, title string")
+    p = spark.createDataFrame([("d", i, t) for i, t in enumerate(["x", "The Long Night", "y", *["Chapter Two"] * 9, "The Dawn", "z"])], "doc_id string, pos int, text string")
+    s = spark.createDataFrame([("d", 2, "The Long Night"), ("d", 13, "Chapter Two: The Dawn")], "doc_id string, start int, title string")
     assert sorted(r.start for r in N.backed_off_starts(s, p).collect()) == [1, 3]
 
 

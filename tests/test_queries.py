@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliant.plans import core
+from foliant.plans import core, services
+
+QUERIES, SQL = {**core.QUERIES, **services.QUERIES}, {**core.SQL, **services.SQL}
 
 
 def _rows(d: pd.DataFrame) -> list[str]:
@@ -26,11 +28,11 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(core.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf, duck, name):
-    got = core.QUERIES[name](spark, sf).toPandas()
+    got = QUERIES[name](spark, sf).toPandas()
     assert list(got.columns)
-    if name in core.SQL:
-        want = duck.sql(core.SQL[name]).df()
+    if name in SQL:
+        want = duck.sql(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert _rows(got) == _rows(want)
