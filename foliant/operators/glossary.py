@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import BROADCAST_LIMIT
 
 
 def resolve_aliases(glossary: DataFrame) -> DataFrame:
@@ -67,31 +67,84 @@ def merged_lines(existing: DataFrame, found: DataFrame, default_section: str = "
     return existing.select("section", F.col("line_no").cast("double").alias("line_no"), "term", "meaning").unionByName(placed)
 
 
-@lru_cache(maxsize=8)
-def _replacer(pairs: tuple[tuple[str, str], ...]):
-    table: dict[str, str] = {}
-    for left, right in pairs:
-        for form in (left, left.replace("’", "'"), left.replace("'", "’")):
-            table.setdefault(form, right)
-    if not table:
-        return lambda text: text
-    by_length = sorted(table, key=lambda k: (-len(k), k))
-    pattern = re.compile("(?<![A-Za-z])(?:" + "|".join(map(re.escape, by_length)) + ")(?![A-Za-z])")
-    return lambda text: pattern.sub(lambda m: table[m.group()], text)
-
-
-def replace_terms(texts: DataFrame, text_col: str, glossary: DataFrame, out: str = "replaced", limit: int = 50_000) -> DataFrame:
+class Replacer:
+    """Terms and their replacements as an automaton over characters, so a text is read once however many terms there are."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.terms = [(left, right) for left, right in pairs if left]
+        forms: dict[str, tuple[int, str]] = {}
+        for k, (left, right) in enumerate(self.terms):
+            for form in (left, left.replace("’", "'"), left.replace("'", "’")):
+                forms.setdefault(form, (k, right))
+        self.next: list[dict[str, int]] = [{}]
+        self.out: list[str | None] = [None]
+        for form, (_, right) in forms.items():
+            at = 0
+            for c in form:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.out.append(None)
+                at = self.next[at][c]
+            self.out[at] = right
+        firsts = "".join(sorted({re.escape(f[0]) for f in forms}))
+        self.start = re.compile(f"(?<![A-Za-z])[{firsts}]") if forms else None
+
+    def __call__(self, text: str) -> str:
+        if self.start is None:
+            return text
+        parts, at = [], 0
+        while m := self.start.search(text, at):
+            i, state, best = m.start(), 0, None
+            while i < len(text) and (state := self.next[state].get(text[i])) is not None:
+                i += 1
+                if self.out[state] is not None and not (i < len(text) and text[i].isascii() and text[i].isalpha()):
+                    best = (i, self.out[state])
+            if best is None:
+                parts.append(text[at : m.start() + 1])
+                at = m.start() + 1
+            else:
+                parts += [text[at : m.start()], best[1]]
+                at = best[0]
+        return "".join([*parts, text[at:]])
+
+
+_replacers: list[tuple[object, Replacer]] = []
+
+
+def replace_terms(texts: DataFrame, text_col: str, glossary: DataFrame, out: str = "replaced", limit: int = BROADCAST_LIMIT // 16) -> DataFrame:
     """Adds a text with its terms replaced: case-sensitive, longest first, in one pass, between characters that are no ASCII letters,
-    with either apostrophe; of repeated terms the first counts. The glossary is a dimension: more than `limit` terms are refused."""
-    rows = glossary.select("term", "meaning", "line_no").orderBy("line_no").limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"a glossary of more than {limit} terms")
-    shared = texts.sparkSession.sparkContext.broadcast(tuple(zip(rows["term"], rows["meaning"])))
+    with either apostrophe; of repeated terms the first counts.
+
+    The terms go to every executor if their text is at most `limit` bytes (the automaton takes several times that). Beyond it, each
+    text gets the terms that may stand in it by an equi-join on terms' first words, and they are replaced in the same way.
+    """
+    terms = glossary.where("length(term) > 0").groupBy("term").agg(F.min_by("meaning", "line_no").alias("meaning"), F.min("line_no").alias("line_no"))
+    size = terms.agg(F.sum(F.octet_length("term") + F.octet_length("meaning"))).first()[0] or 0
+    if size <= limit:
+        rows = terms.orderBy("line_no").toPandas()
+        shared = texts.sparkSession.sparkContext.broadcast(list(zip(rows["term"], rows["meaning"])))
+
+        @F.pandas_udf("string")
+        def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            if not _replacers or _replacers[0][0] is not shared.value:
+                _replacers[:] = [(shared.value, Replacer(shared.value))]
+            for s in batches:
+                yield s.map(_replacers[0][1], na_action="ignore")
+
+        return texts.withColumn(out, replaced(F.col(text_col)))
+
+    plain = lambda c: F.replace(c, F.lit("’"), F.lit("'"))
+    word = r"[A-Za-z]+|[^A-Za-z\s]"
+    first = terms.withColumn("w", F.regexp_extract(plain(F.col("term")), word, 0))
+    distinct = texts.select(F.col(text_col).alias("__t")).where("__t is not null").distinct().withColumn("__h", F.md5("__t"))
+    asked = distinct.select("__h", F.explode(F.array_distinct(F.regexp_extract_all(plain(F.col("__t")), F.lit(word), F.lit(0)))).alias("w"))
+    found = asked.join(first, "w").groupBy("__h").agg(F.array_sort(F.collect_list(F.struct("line_no", "term", "meaning"))).alias("terms"))
 
     @F.pandas_udf("string")
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = _replacer(shared.value)
-        for s in batches:
-            yield s.map(one, na_action="ignore")
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for t, terms_ in batches:
+            yield pd.Series([Replacer([(x["term"], x["meaning"]) for x in y])(v) if y is not None else v for v, y in zip(t, terms_)], dtype=object)
 
-    return texts.withColumn(out, replaced(F.col(text_col)))
+    made = distinct.join(found, "__h", "left").select("__t", each(F.col("__t"), F.col("terms")).alias(out))
+    return texts.join(made, F.col(text_col) == F.col("__t"), "left").drop("__t")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.prefix import forward_fill
+from foliant.operators.prefix import BLOCK, forward_fill
 
 
 def updated_labels(points: DataFrame, titles: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def backed_off_starts(starts: DataFrame, paragraphs: DataFrame) -> DataFrame:
     rows = paragraphs.select("doc_id", "pos", T.squash("text").alias("sq")).join(starts.withColumn("pos", F.col("start")), ["doc_id", "pos"], "full_outer")
     # backwards, each paragraph meets the next start first
     back = rows.withColumn("back", -F.col("pos"))
-    ahead = forward_fill(forward_fill(back, ["doc_id"], "back", "start", "next"), ["doc_id"], "back", "title", "its_title").where(F.col("next").isNotNull() & (F.col("pos") < F.col("next")))
+    ahead = forward_fill(forward_fill(back, ["doc_id"], "back", "start", "next", BLOCK), ["doc_id"], "back", "title", "its_title", BLOCK).where(F.col("next").isNotNull() & (F.col("pos") < F.col("next")))
     stops = ahead.where(~F.coalesce((F.length("sq") >= 6) & F.contains(T.squash("its_title"), F.col("sq")), F.lit(False)) | F.col("start").isNotNull())
     stop = stops.groupBy("doc_id", F.col("next").alias("start")).agg(F.max("pos").alias("stop"))
     # paragraphs between the stop and the start must be there without a gap

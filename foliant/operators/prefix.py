@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a block in values of the order column.
+#: Rows of a block, about, if the values of the order column lie evenly.
 BLOCK = 50_000
 
 
-def _blocks(df: DataFrame, order: str, block: int) -> DataFrame:
+def _blocks(df: DataFrame, order: str, block: int | None) -> DataFrame:
+    """Rows with the number of their block. Its width follows from the range and count of the order column, so sparse values (ids of
+    other tables, times) give as few blocks as dense ones."""
+    if block is None:
+        low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+        block = max(1, int((high - low + 1) * BLOCK / max(n, 1))) if n else BLOCK
     return df.withColumn("__block", F.floor(F.col(order) / block))
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int | None = None) -> DataFrame:
     """Adds the running sum of `value` over rows of a key in order; equal positions get the sum after all of them."""
     rows = _blocks(df.withColumn("__value", value), order, block)
     sums = rows.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
@@ -29,7 +34,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
     return joined.withColumn(out, F.col("__before") + F.col("__inside")).drop("__block", "__value", "__inside", "__before")
 
 
-def forward_fill(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+def forward_fill(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int | None = None) -> DataFrame:
     """Adds the last value that is not null at or before each row of a key."""
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]

@@ -79,9 +79,9 @@ def probe_cache(chunks: DataFrame, cache: DataFrame, version: int = 1) -> DataFr
 
 def failure_reasons(log: DataFrame, order: str = "line_no", line: str = "line", cut_at: int = 200) -> DataFrame:
     """(chapter, reason): the last line with a warning or failure below each chapter's header, `[n/m] Chapter: title`, in a log."""
-    from foliant.operators.prefix import forward_fill
+    from foliant.operators.prefix import BLOCK, forward_fill
 
     head = F.regexp_extract(line, r"^\s*\[\d+/\d+\] Chapter: (.+)$", 1)
-    rows = forward_fill(log.withColumn("__h", F.when(head != "", F.trim(head))), [], order, "__h", "chapter")
+    rows = forward_fill(log.withColumn("__h", F.when(head != "", F.trim(head))), [], order, "__h", "chapter", BLOCK)
     bad = rows.where(F.col("chapter").isNotNull() & (F.col(line).contains("WARNING") | F.lower(line).contains("gagal")))
     return bad.groupBy("chapter").agg(F.substring(F.trim(F.max_by(line, order)), 1, cut_at).alias("reason"))

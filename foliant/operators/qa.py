@@ -115,3 +115,9 @@ def archive_issues(members: DataFrame, manifest: DataFrame, spine: DataFrame) ->
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def archives_passed(archives: DataFrame, faults: DataFrame) -> DataFrame:
+    """(doc_id, passed): archives without a fault of severity error."""
+    bad = faults.where("severity = 'error'").select("doc_id", F.lit(False).alias("p")).distinct()
+    return archives.select("doc_id").distinct().join(bad, "doc_id", "left").select("doc_id", F.coalesce("p", F.lit(True)).alias("passed"))

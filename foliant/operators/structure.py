@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.prefix import running_total
+from foliant.operators.prefix import BLOCK, running_total
 
 # Patterns that decide the kind of a document or title.
 CHAPTER_MARKER = r"(?i)^\s*(chapter|chap\.|prologue|epilogue|appendix|part)\b"
@@ -36,7 +36,7 @@ def split_by_headings(paragraphs: DataFrame, doc_title: Column | None = None) ->
     heading = F.col("heading_level").isNotNull()
     # chapters are found on positions and headings alone; the texts of the body meet them once
     slim = paragraphs.select("doc_id", "pos", heading.cast("int").alias("h"), F.when(heading, F.col("text")).alias("t")).distinct()
-    marked = running_total(slim, ["doc_id"], "pos", F.col("h"), "group")
+    marked = running_total(slim, ["doc_id"], "pos", F.col("h"), "group", BLOCK)  # positions of a book are dense
     heads = marked.where("h = 1").groupBy("doc_id", "group").agg(F.max_by("t", "pos").alias("title"))
     places = marked.where("h = 0").select("doc_id", "pos", "group")
     numbers = places.groupBy("doc_id", "group").agg(F.min("pos").alias("start")).select("doc_id", "group", F.row_number().over(Window.partitionBy("doc_id").orderBy("group")).alias("chapter_no"))

@@ -83,7 +83,7 @@ def q10_heading_chapters(spark, sf):
 
 def q11_glossary_sections(spark, sf):
     rows = table(spark, sf, "glossary").select("line_no", "section", "term")
-    return prefix.forward_fill(rows, [], "line_no", "section", "filled").select("line_no", "filled", "term")
+    return prefix.forward_fill(rows, [], "line_no", "section", "filled", prefix.BLOCK).select("line_no", "filled", "term")
 
 
 def q12_first_wins(spark, sf):

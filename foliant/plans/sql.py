@@ -280,3 +280,17 @@ SELECT paragraph_id, CASE WHEN NOT regexp_matches({_strip('title')}, '^Chapter\\
   WHEN {_strip("regexp_extract(body, '^.+\\(([^(]*)\\)$', 1, 's')")} = '' THEN 'empty'
   WHEN regexp_matches({_strip("regexp_extract(body, '^.+\\(([^(]*)\\)$', 1, 's')")}, '^chapter\\s+\\d+$', 'i') THEN 'label' END AS error,
   CASE WHEN regexp_matches({_strip('title')}, '^chapter\\s+\\d+$', 'i') THEN {_strip('title')} || ' (Bab ' || regexp_extract(title, '(\\d+)', 1) || ')' END AS label FROM y"""
+SQL["q25_glossary_replaced"] = f"""
+WITH RECURSIVE g AS ({SQL["q18_glossary_aliases"]}),
+w AS (SELECT term, arg_min(meaning, line_no) AS meaning, min(line_no) AS line_no FROM g GROUP BY term),
+fm AS (SELECT form, arg_min(meaning, {{'a': line_no, 'b': k}}) AS meaning FROM (SELECT term AS form, meaning, line_no, 0 AS k FROM w
+  UNION ALL SELECT replace(term, '’', chr(39)), meaning, line_no, 1 FROM w UNION ALL SELECT replace(term, chr(39), '’'), meaning, line_no, 2 FROM w) GROUP BY form),
+t AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT paragraph_id, translated_text AS x FROM assembled_paragraphs)),
+ps AS (SELECT id, x, CAST(unnest(generate_series(1, length(x))) AS INTEGER) AS pos FROM t WHERE x IS NOT NULL),
+m AS (SELECT id, pos, arg_max(form, length(form)) AS form, arg_max(meaning, length(form)) AS meaning FROM (SELECT * FROM ps WHERE NOT regexp_matches(substr(x, pos - 1, CASE WHEN pos > 1 THEN 1 ELSE 0 END), '[A-Za-z]')) ps
+  JOIN fm ON substr(x, pos, 1) = substr(form, 1, 1) WHERE substr(x, pos, length(form)) = form AND NOT regexp_matches(substr(x, pos + length(form), 1), '[A-Za-z]') GROUP BY id, pos),
+f AS (SELECT id, pos, form, meaning, pos + length(form) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM m) WHERE k = 1
+  UNION ALL SELECT id, pos, form, meaning, stop FROM (SELECT m.id, m.pos, m.form, m.meaning, m.pos + length(m.form) AS stop, row_number() OVER (PARTITION BY m.id ORDER BY m.pos) AS k FROM f JOIN m ON m.id = f.id AND m.pos >= f.stop) WHERE k = 1),
+o AS (SELECT *, lag(stop, 1, 1) OVER (PARTITION BY id ORDER BY pos) AS start FROM f),
+r AS (SELECT o.id, string_agg(substr(x, CAST(start AS INTEGER), CAST(o.pos - start AS INTEGER)) || meaning, '' ORDER BY o.pos) AS made, max(stop) AS stop FROM o JOIN t USING (id) GROUP BY o.id)
+SELECT paragraph_id, CASE WHEN r.id IS NULL THEN x ELSE made || substr(x, CAST(stop AS INTEGER)) END AS replaced FROM t LEFT JOIN r USING (id)"""

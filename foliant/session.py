@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,19 +35,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a session on one machine (tests) may go without: it gets a
+    temporary one; a cluster without it is refused, as a folder of one machine would lose data with it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         held = sc._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor costs a re-read and not a re-run."""
     checkpoint_dir(df.sparkSession)

@@ -1,7 +1,8 @@
 """EPUB and DOCX files as tables.
 
 Files are read with Spark's binaryFile source, one row a file, and taken apart in Arrow batches by the standard library; a book is the
-unit of work, as an archive can only be read whole. Damaged or unreadable members are skipped, damaged archives give no rows.
+unit of work, as an archive can only be read whole. Missing pages are skipped; an archive that cannot be read gives no rows here and
+one row, with the reason, in read_refused.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,6 +25,9 @@ from pyspark.sql.types import StructType
 
 RUN = "struct<text:string,formatting:struct<bold:boolean,italic:boolean,underline:boolean,superscript:boolean,subscript:boolean,font_name:string,font_size:double,font_color:string>>"
 PARAGRAPHS = f"doc_id string, pos int, paragraph_id string, idref string, text string, heading_level int, all_bold boolean, alignment string, css_class string, images array<string>, runs array<{RUN}>"
+PAGES = "doc_id string, pos int, idref string, path string, html string, stylesheets array<string>"
+PICTURES = "doc_id string, pos int, k int, name string, content binary"
+REFUSED = "doc_id string, suffix string, reason string"
 MEMBERS = "doc_id string, pos int, name string, size bigint, stored boolean, content binary"
 MANIFEST = "doc_id string, item_id string, href string, path string, media_type string, properties string"
 SPINE = "doc_id string, pos int, idref string, linear string, is_nav boolean"
@@ -89,6 +94,53 @@ class _Blocks(html.parser.HTMLParser):
             self.now["runs"].append((text, {f: f in on for f in _FLAGS}))
 
 
+class _Spans(_Blocks):
+    """As _Blocks, with where the inside of each block begins and ends in the page."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.lines = [0]
+        for line in page.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.spans: list[list[int | None]] = []
+        self.open = False
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _shut(self) -> None:
+        if self.open:
+            self.spans[-1][1] = self._at()
+            self.open = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self._shut()
+            self.spans.append([self._at() + len(self.get_starttag_text() or ""), None])
+            self.open = True
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag in _BLOCKS or tag in ("body", "html", "div"):
+            self._shut()
+        super().handle_endtag(tag)
+
+
+def replace_blocks(page: str, inside: list[str | None]) -> str:
+    """A page with the insides of its paragraphs and headings, in order, replaced by markup; a null leaves one as it is."""
+    p = _Spans(page)
+    p.feed(page)
+    p.close()
+    out, at = [], 0
+    for (start, stop), new in zip(p.spans, inside):
+        stop = len(page) if stop is None else stop
+        if new is not None and start >= at:
+            out += [page[at:start], new]
+            at = stop
+    return "".join([*out, page[at:]])
+
+
 def page_blocks(page: str) -> _Blocks:
     p = _Blocks()
     p.feed(page)
@@ -187,6 +239,9 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return rows.select(F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("doc_id"), "content")
 
 
+_UNREADABLE = (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, EOFError, zlib.error)
+
+
 def _each(df: DataFrame, schema: str, rows_of) -> DataFrame:
     names = StructType.fromDDL(schema).names
 
@@ -196,8 +251,8 @@ def _each(df: DataFrame, schema: str, rows_of) -> DataFrame:
             for doc, data in zip(b["doc_id"], b["content"]):
                 try:
                     out += list(rows_of(doc, bytes(data)))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError):
-                    continue
+                except _UNREADABLE:
+                    continue  # read_refused has it
             yield pd.DataFrame(out, columns=names)
 
     return df.mapInPandas(run, schema)
@@ -213,6 +268,54 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a spine as they are, with the members that their stylesheet links name."""
+    def rows(d: str, x: bytes):
+        e = Epub(x)
+        for k, (i, _) in enumerate(e.spine):
+            page = e.page(i)
+            if page is not None:
+                at = e.manifest[i]["path"]
+                yield d, k, i, at, page, [join_path(posixpath.dirname(at), h) for h in page_blocks(page).links]
+
+    return _each(_files(spark, path, "epub"), PAGES, rows)
+
+
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """Pictures of DOCX paragraphs, in order; a part without a suffix counts as PNG."""
+    def rows(d: str, x: bytes):
+        z = zipfile.ZipFile(io.BytesIO(x))
+        for row in docx_paragraphs(d, x):
+            for k, target in enumerate(row[9]):
+                try:
+                    data = z.read(join_path("word", target))
+                except KeyError:
+                    continue
+                name = posixpath.basename(target)
+                yield d, row[1], k, name if "." in name else f"{name}.png", data
+
+    return _each(_files(spark, path, "docx"), PICTURES, rows)
+
+
+def read_refused(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, suffix, reason): archives that cannot be read as a book."""
+    def tried(suffix: str, rows_of):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for doc, data in zip(b["doc_id"], b["content"]):
+                    try:
+                        for _ in rows_of(doc, bytes(data)):
+                            pass
+                    except _UNREADABLE as e:
+                        out.append((doc, suffix, f"{type(e).__name__}: {e}"[:200]))
+                yield pd.DataFrame(out, columns=["doc_id", "suffix", "reason"])
+
+        return _files(spark, path, suffix).mapInPandas(run, REFUSED)
+
+    return tried("epub", lambda d, x: Epub(x).paragraphs(d)).unionByName(tried("docx", docx_paragraphs))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return _each(_files(spark, path, "epub"), MANIFEST, lambda d, x: ((d, i, m["href"], m["path"], m["media_type"], m["properties"]) for i, m in Epub(x).manifest.items()))
 

@@ -165,13 +165,58 @@ def test_progress_stream_folds_to_latest(spark, tmp_path):
     schema = "chapter_id string, chunk_id string, status string, qa_passed boolean, flagged boolean, saved_at timestamp"
     import datetime as dt
     src = str(tmp_path / "p")
-    for k, row in enumerate([("c", "0", "in_progress", None, True, dt.datetime(2025, 1, 1, 1)), ("c", "0", "completed", True, False, dt.datetime(2025, 1, 1, 2))]):
+    rows = [("c", "0", "in_progress", None, True, dt.datetime(2025, 1, 1, 1)), ("c", "0", "in_progress", None, False, dt.datetime(2025, 1, 1, 1)), ("c", "0", "completed", True, False, dt.datetime(2025, 1, 1, 2))]
+    for row in rows:
         spark.createDataFrame([row], schema).write.mode("append").parquet(src)
         runs.follow_progress(spark, spark.readStream.schema(schema).parquet(src), str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "t" / "epoch=0000000001")).collect()
+    got = runs.states(spark, str(tmp_path / "t")).collect()
     assert [(r.status, r.qa_passed, r.ever_flagged) for r in got] == [("completed", True, True)]
 
 
 def test_nothing_outside_imports_the_llm_subpackage():
     root = Path(__file__).resolve().parent.parent / "foliant"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "foliant.llm" in p.read_text()]
+
+
+def test_rebuilding_keeps_the_source_book():
+    import io
+    import zipfile
+
+    page = '<html lang="en"><head><link rel="stylesheet" href="a.css"/></head><body><h1 class="t">One</h1><p>open<p class="x">two <b>bold</b></p><div><p></p></div><img src="i.png"/></body></html>'
+    assert archives.replace_blocks(page, ["Satu", None, "dua", "tiga"]) == page.replace(">One<", ">Satu<").replace("two <b>bold</b>", "dua").replace("<p></p>", "<p>tiga</p>")
+    data = books.epub_bytes("b", [(1, "One", page)], {"OEBPS/a.css": b"p{}", "OEBPS/i.png": b"png"})
+    made = books._rebuilt(data, {0: "Satu", 2: "<strong>dua</strong>"}, {"": "Buku & B", "OEBPS/c0001.xhtml": "Bab 1"}, "id")
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        assert z.infolist()[0].filename == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
+        assert z.read("OEBPS/a.css") == b"p{}" and z.read("OEBPS/i.png") == b"png"
+        text = z.read("OEBPS/c0001.xhtml").decode()
+        assert '<h1 class="t">Satu</h1><p>open<p class="x"><strong>dua</strong></p>' in text and 'lang="id"' in text
+        assert ">Bab 1</a>" in z.read("OEBPS/nav.xhtml").decode() and "<dc:title>Buku &amp; B</dc:title>" in z.read("OEBPS/content.opf").decode()
+
+
+def test_damaged_archives_are_reported(spark, book, tmp_path):
+    (tmp_path / "x.docx").write_bytes(b"no archive")
+    (tmp_path / "y.epub").write_bytes(b"PK")
+    assert sorted((r.doc_id, r.suffix) for r in archives.read_refused(spark, str(tmp_path)).collect()) == [("x", "docx"), ("y", "epub")]
+    assert archives.read_refused(spark, book).count() == 0
+
+
+def test_glossaries_of_a_folder_stay_apart(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("## S\nAnn = Anna\n~Annie = ann\nLine = x\n")
+    (tmp_path / "b.txt").write_text("Bob = Bobby\n~Annie = Bob\n")
+    g = state.read_glossary(spark, str(tmp_path))
+    assert sorted((r.file[-5:], r.term, r.section) for r in g.collect()) == [("a.txt", "Ann", "S"), ("a.txt", "Annie", "S"), ("a.txt", "Line", "S"), ("b.txt", "Annie", None), ("b.txt", "Bob", None)]
+    got = sorted((r.file[-5:], r.term, r.meaning) for r in state.active_terms(g).collect())
+    assert got == [("a.txt", "Ann", "Anna"), ("a.txt", "Annie", "Anna"), ("a.txt", "Line", "x"), ("b.txt", "Annie", "Bobby"), ("b.txt", "Bob", "Bobby")]
+    assert [r.term for r in state.editor_view(g.where("section = 'S'"), "alphabetical", search="AN").collect()] == ["Ann", "Annie"]
+
+
+def test_progress_keeps_backups_and_reports_damage(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", "0", "completed", "t", ["t"], 1, True, False, False)], "chapter_id string, chunk_id string, status string, translation string, paragraph_translations array<string>, attempts int, qa_passed boolean, flagged boolean, cache_hit boolean")
+    folder = str(tmp_path / "p")
+    assert books.save_progress(rows, folder) == 1 and books.save_progress(rows.withColumn("translation", F.lit("u")), folder) == 1
+    assert state.read_progress(spark, folder).first().translation == "u"
+    (tmp_path / "p" / "c1.json").write_text("{")
+    assert state.read_progress(spark, folder).first().translation == "t" and state.damaged_progress(spark, folder).count() == 0
+    (tmp_path / "p" / "c2.json").write_text("{")
+    assert [r.file for r in state.damaged_progress(spark, folder).collect()] == ["c2"]

@@ -96,6 +96,8 @@ def test_glossary_replacement(spark):
     t = spark.createDataFrame([(1, "Lady Ann met lady Ann, Ladyship and King's Seal. Rudy Off"), (2, None), (3, "")], "id int, text string")
     got = {r.id: r.replaced for r in glossary.replace_terms(t, "text", glossary.resolve_aliases(g)).collect()}
     assert got == {1: "Nyonya Ann met lady Ann, Ladyship and Segel Raja. Nyonya Ann Off", 2: None, 3: ""}
+    joined = {r.id: r.replaced for r in glossary.replace_terms(t, "text", glossary.resolve_aliases(g), limit=1).collect()}
+    assert joined == got
 
 
 def test_prune_and_containment(spark):

@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliant.plans import core, services
+from foliant.plans import core, files, services
 
-QUERIES, SQL = {**core.QUERIES, **services.QUERIES}, {**core.SQL, **services.SQL}
+QUERIES, SQL = {**core.QUERIES, **files.QUERIES, **services.QUERIES}, {**core.SQL, **files.SQL, **services.SQL}
 
 
 def _rows(d: pd.DataFrame) -> list[str]:
