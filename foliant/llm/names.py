@@ -224,28 +224,33 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(n >= TYPO_LENGTH, each).otherwise(F.array(word))))
 
 
-def near_words(words: DataFrame, registered: DataFrame) -> DataFrame:
-    """(word, near): the registered words that are a word or one edit (or one moved letter) from it, with the edits."""
+def near_pairs(words: DataFrame, registered: DataFrame) -> DataFrame:
+    """(word, known, edits): the registered words that are a word or one edit (or one moved letter) from it."""
     a = words.select("word").distinct().select("word", F.explode(_deletions(F.col("word"))).alias("cut"))
     b = registered.select(F.col("word").alias("known")).distinct().select("known", F.explode(_deletions(F.col("known"))).alias("cut"))
     letters = lambda c: F.array_sort(F.split(c, ""))
     moved = (F.length("word") == F.length("known")) & (letters(F.col("word")) == letters(F.col("known")))
     pairs = a.join(b, "cut").where((F.col("word") == F.col("known")) | (F.least(F.length("word"), F.length("known")) >= TYPO_LENGTH))
     pairs = pairs.select("word", "known").distinct().where((F.levenshtein("word", "known") <= 1) | moved)
-    edits = F.when(F.col("word") == F.col("known"), 0).otherwise(1)
-    return pairs.groupBy("word").agg(F.collect_list(F.struct(F.col("known").alias("w"), edits.alias("e"))).alias("near"))
+    return pairs.select("word", "known", F.when(F.col("word") == F.col("known"), 0).otherwise(1).alias("edits"))
 
 
 def _forms(parsed: DataFrame, near: DataFrame) -> DataFrame:
     """(name, own, registered, form, kind, cost, middle) of distinct names: what they may be cut down to if registered, and what they are."""
-    per = parsed.select("name", F.explode(F.array_distinct("words")).alias("word")).join(near, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "near"))).alias("near"))
+    # a word has no letters outside its alphabet, so flat strings carry the pairs
+    flat = F.concat_ws(" ", "word", "known", F.col("edits").cast("string"))
+    per = parsed.select("name", F.explode(F.array_distinct("words")).alias("word")).join(near, "word").groupBy("name").agg(F.collect_list(flat).alias("near"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for name, own, near_ in zip(b["name"], b["own"], b["near"]):
-                near_ = dict(near_) if near_ is not None else {}
-                options = {w: sorted(((x["w"], x["e"]) for x in v), key=lambda x: (x[1], x[0])) for w, v in near_.items()}
+                options: dict[str, list[tuple[str, int]]] = {}
+                for x in near_ if near_ is not None else ():
+                    word, known, edits = x.split(" ")
+                    options.setdefault(word, []).append((known, int(edits)))
+                for v in options.values():
+                    v.sort(key=lambda x: (x[1], x[0]))
                 for side in (True, False) if own else (False,):
                     rows += [(name, own, side, *f) for f in rewritings(name, options, side)]
             yield pd.DataFrame(rows, columns=["name", "own", "registered", "form", "kind", "cost", "middle"])
@@ -301,11 +306,11 @@ def entity_clusters(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame
     """((entity_id, cluster) of all records, (mention_id, cluster) of the mentions that name one): the least id of an entity's records."""
     records = entities.select(F.col("entity_id").cast("bigint").alias("entity_id"), F.explode(F.array_union(
         F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
-    typed = mentions.select(F.col("mention_id").cast("bigint").alias("mention_id"), F.col("text").alias("name")).where("name is not null").distinct()
+    typed = mentions.select(F.col("mention_id").cast("bigint").alias("mention_id"), F.col("text").alias("name")).where("name is not null")
     names = records.select("name", F.lit(True).alias("own")).unionByName(typed.select("name", F.lit(False).alias("own"))).groupBy("name").agg(F.max("own").alias("own"))
     parsed = cut(_parsed(names))
     every = parsed.select("own", F.explode("words").alias("word"))
-    forms = cut(_forms(parsed, near_words(every, every.where("own"))))
+    forms = cut(_forms(parsed, near_pairs(every, every.where("own"))))
     registered = cut(forms.where("registered").join(records, "name").groupBy("entity_id", "form", "kind", "middle").agg(F.min("cost").alias("cost")))
     asked = forms.where("not registered")
     alone = records.select("entity_id").distinct()
@@ -336,7 +341,7 @@ def entity_clusters(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame
     new = first.join(clusters.withColumnRenamed("cluster", "now"), "entity_id").where("cluster <> now").select("cluster", "now").distinct()
     held = held.join(new, "cluster", "left").groupBy("form", "middle", F.coalesce("now", "cluster").alias("cluster")).agg(F.min("o_cost").alias("o_cost"))
     chosen = _decided(_matches(asked.join(typed.select("name").distinct(), "name", "left_semi"), held, 2), "name")
-    return clusters, typed.join(chosen, "name").select("mention_id", "cluster")
+    return clusters, typed.join(chosen, "name").select("mention_id", "cluster").distinct()
 
 
 def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -345,4 +350,4 @@ def same_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     a = clusters.select(F.col("entity_id").alias("id_a"), "cluster")
     both = a.join(clusters.select(F.col("entity_id").alias("id_b"), "cluster"), "cluster").where("id_a < id_b").select("id_a", "id_b")
     linked = a.join(named, "cluster").select("id_a", F.col("mention_id").alias("id_b"))
-    return both.unionByName(linked).distinct()
+    return both.unionByName(linked)

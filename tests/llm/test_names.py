@@ -44,7 +44,7 @@ def test_empty_tables(spark, entities):
 def test_near_words_are_all_within_one_edit(spark):
     words = ["grubo", "gruob", "grbo", "grubbo", "gruba", "grxbz", "abc", "abd"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
-    got = {(r.word, x.w, x.e) for r in names.near_words(df, df).collect() for x in r.near}
+    got = {(r.word, r.known, r.edits) for r in names.near_pairs(df, df).collect()}
     assert {(w, k) for w, k, e in got if e == 0} == {(w, w) for w in words}
     assert {k for w, k, e in got if w == "grubo" and e} == {"gruob", "grbo", "grubbo", "gruba"}
     assert not any(k == "abd" for w, k, _ in got if w == "abc")  # too short to be mistyped
