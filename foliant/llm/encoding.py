@@ -81,12 +81,23 @@ _BLOCKS = np.array([0x0, 0x250, 0x530, 0x2600, 0x2E80, 0x3040, 0x30A0, 0x3100, 0
 _CLASS0 = 0x110000
 
 
-def symbols(codes: np.ndarray) -> np.ndarray:
-    """Symbol of each code point: itself in an own block, else its block's class."""
+def _symbol_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Number of each code point's symbol, and the symbols by number: code points of own blocks, then the classes of blocks."""
+    codes = np.arange(0x110000)
     own = np.zeros(len(codes), bool)
     for a, b in _OWN:
         own |= (codes >= a) & (codes < b)
-    return np.where(own, codes, _CLASS0 + np.searchsorted(_BLOCKS, codes, side="right"))
+    symbol = np.where(own, codes, _CLASS0 + np.searchsorted(_BLOCKS, codes, side="right"))
+    by_number, number = np.unique(symbol, return_inverse=True)
+    return number.astype(np.int32), by_number
+
+
+_NUMBER, _SYMBOL = _symbol_tables()
+
+
+def symbols(codes: np.ndarray) -> np.ndarray:
+    """Symbol of each code point: itself in an own block, else its block's class."""
+    return _SYMBOL[_NUMBER[codes]]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -112,11 +123,15 @@ def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return None
         # what reads as UTF-8 is no evidence of how clean text goes
         c = _codes(_GARBLED.sub(" ", " " + "  ".join(texts) + " "))
-        s = symbols(c)
-        pairs, n = np.unique(s[:-1] * (1 << 21) + s[1:], return_counts=True)
-        chars, m = np.unique(c[s >= _CLASS0], return_counts=True)
+        k = _NUMBER[c]
+        counts = np.bincount(k[:-1].astype(np.int64) * len(_SYMBOL) + k[1:])
+        pairs = np.flatnonzero(counts)
+        n = counts[pairs]
+        shared = np.bincount(c[_SYMBOL[k] >= _CLASS0])
+        chars = np.flatnonzero(shared)
+        m = shared[chars]
         kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(chars), np.int32)])
-        cols = (kind, np.concatenate([pairs >> 21, symbols(chars)]), np.concatenate([pairs & ((1 << 21) - 1), chars]), np.concatenate([n, m]))
+        cols = (kind, np.concatenate([_SYMBOL[pairs // len(_SYMBOL)], symbols(chars)]), np.concatenate([_SYMBOL[pairs % len(_SYMBOL)], chars]), np.concatenate([n, m]))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "a", "b", "n"])
 
     each = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), count, "kind int, a bigint, b bigint, n bigint")
