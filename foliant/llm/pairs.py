@@ -100,7 +100,6 @@ def _slot(phrases: tuple[str, ...]) -> dict[str, list[tuple[str, ...]]]:
 
 
 _TEMPLATES = tuple(tuple(map(_slot, t)) for t in REFUSALS)
-_HINTS = frozenset(w for slots in ((TRANSLATING, DOING, MET, GOING_ON), (SPEAKERS,)) for phrases in slots for p in phrases for w in (p.split()[0], p.split()[-1])) - {"as", "tidak", "not"}
 
 
 def _aligned(template: tuple, ws: list[str]) -> bool:
@@ -117,20 +116,25 @@ def _aligned(template: tuple, ws: list[str]) -> bool:
     return True
 
 
+def _possible(have: set[str]) -> list[tuple]:
+    """The templates each of whose slots begins with one of the words."""
+    return [t for t in _TEMPLATES if not any(slot.keys().isdisjoint(have) for slot in t)]
+
+
 def refusing(text: str) -> tuple[int, int]:
     """(words of the sentences that a refusal template aligns to, words of all)."""
     refused = total = 0
     for sentence in _SENTENCE.split(text):
         ws = words(sentence)
         total += len(ws)
-        if not _HINTS.isdisjoint(ws) and any(_aligned(t, ws) for t in _TEMPLATES):
+        if any(_aligned(t, ws) for t in _possible(set(ws))):
             refused += len(ws)
     return refused, total
 
 
 def refusal_score(source: str, answer: str, got: list[str]) -> float:
     """Share of an answer's words that refuse instead of translating; 0 if it is no refusal."""
-    if _HINTS.isdisjoint(got):
+    if not _possible(set(got)):
         return 0.0
     refused, total = refusing(answer)
     if not refused or refusing(source)[0]:
@@ -147,6 +151,9 @@ def copy_score(source: list[str], answer: list[str]) -> float:
     """Share of the answer's words that are the source's in order; 0 where few shingles are shared."""
     if len(answer) < SHINGLE:
         return common(source, answer) / len(answer) if answer else 0.0
+    known = set(source)
+    if sum(w in known for w in answer) < CONTAINED * (len(answer) - SHINGLE + 1):
+        return 0.0  # as few shingles can be shared
     held = set(zip(source, source[1:], source[2:]))
     shingles = list(zip(answer, answer[1:], answer[2:]))
     if sum(s in held for s in shingles) < CONTAINED * len(shingles):
