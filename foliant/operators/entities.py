@@ -76,6 +76,11 @@ def evidence(entities: DataFrame) -> DataFrame:
     return rows.select("entity_id", "n", "r.url", "r.snippet", "r.confidence", score.alias("score")).withColumn("valid", F.col("score") >= 0.5)
 
 
+def names_in_order(names: DataFrame, order: str = "ord", name: str = "name") -> DataFrame:
+    """(name, ord): stripped names once each, where they first stand; blank ones are left out."""
+    return names.select(T.strip(name).alias("name"), F.col(order).alias("ord")).where("name <> ''").groupBy("name").agg(F.min("ord").alias("ord"))
+
+
 def with_paragraphs(mentions: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Mentions with the text of their source paragraph; of paragraphs that share an id the first counts, and a missing one gives a null."""
     first = paragraphs.groupBy(F.col("paragraph_id").alias("source_paragraph_id")).agg(F.min_by("text", F.struct("doc_id", "pos")).alias("paragraph_text"))
@@ -98,7 +103,7 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def term_meanings(terms: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, meaning, snippets): a term's registered translation, else up to three snippets of its valid evidence, 300 characters each."""
-    keyed = terms.select("name").distinct().withColumn("name_key", T.normal_name("name")).join(name_index(entities), "name_key", "left")
+    keyed = terms.select(F.col("name")).distinct().withColumn("name_key", T.normal_name("name")).join(name_index(entities), "name_key", "left")
     translations = entities.select("entity_id", F.col("translation").alias("meaning")).dropDuplicates(["entity_id"])
     shown = evidence(entities).where("valid and trim(snippet) <> ''").groupBy("entity_id").agg(
         F.array_sort(F.collect_list(F.struct("n", F.substring(T.strip(T.collapse("snippet")), 1, 300).alias("s")))).alias("x"))

@@ -65,6 +65,18 @@ def usage(requests: DataFrame, ts: str, *keys: str) -> DataFrame:
     return requests.groupBy(F.to_date(ts).alias("day"), *keys).agg(F.count("*").alias("n"))
 
 
+def usage_line(requests: DataFrame) -> DataFrame:
+    """(day, line): a day's requests by model (day, model, n) in one line, models in order."""
+    part = F.concat("model", F.lit(" "), F.col("n").cast("string"), F.lit("x"))
+    return requests.groupBy("day").agg(F.array_join(F.sort_array(F.collect_list(part)), " · ").alias("line"))
+
+
+def next_chunk(status: DataFrame) -> DataFrame:
+    """(chapter_id, line): `chunk n/total` of the chapters in progress."""
+    return status.where((F.col("status") == "in_progress") & (F.col("total") > 0)).select(
+        "chapter_id", F.format_string("chunk %d/%d", F.least(F.col("done") + 1, F.col("total")), F.col("total")).alias("line"))
+
+
 def cache_key(*parts: Column) -> Column:
     """sha256 of one canonical string of all parts; a null differs from an empty text, and no part runs into the next."""
     text = [F.when(p.isNull(), "~").otherwise(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string"))) for p in parts]

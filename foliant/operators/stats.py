@@ -19,6 +19,16 @@ def chapter_stats(processed: DataFrame) -> DataFrame:
         F.sum(F.greatest("n_issues", F.lit(0))).cast("bigint").alias("issues"))
 
 
+def run_counters(paragraphs: DataFrame, processed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Counters of each chapter and, in the row without chapter, of the run, with paragraphs (chapter_id, paragraph_id), entities and
+    failed research (chapter_id, status). Each side is counted by itself before they meet, so none multiplies another."""
+    p = paragraphs.select("chapter_id", "paragraph_id").distinct().rollup("chapter_id").agg(F.count("*").alias("paragraphs"))
+    e = resolved.rollup("chapter_id").agg(F.count("*").alias("entities"), F.count_if(F.lower("status") == "research_failed").alias("research_failed"))
+    sides = [x.withColumn("k", F.coalesce("chapter_id", F.lit("\x00"))).drop("chapter_id") for x in (chapter_stats(processed), p, e)]
+    rows = sides[0].join(sides[1], "k", "full_outer").join(sides[2], "k", "full_outer")
+    return rows.select(F.when(F.col("k") != "\x00", F.col("k")).alias("chapter_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in (*_COUNTERS, "paragraphs", "entities", "research_failed")])
+
+
 def run_summary(stats: DataFrame) -> DataFrame:
     """The run's row, with the share of chunks that passed in percent, ties to even."""
     total = stats.where("chapter_id is null")

@@ -303,6 +303,25 @@ def q99_saved_stats(spark, sf):
     return spark.read.schema(got.schema).json(folder)
 
 
+def q99_output_backups(spark, sf):
+    """Four versions of each output, of which the backups keep two."""
+    ship_package(spark)
+    folder = shared_folder(spark, "outputs")
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("doc_id"), "n_nationkey")
+    for v in range(4):
+        books.write_files(names.where(F.col("n_nationkey") % 4 >= v).select("doc_id", F.lit(f"v{v}").alias("content")), folder, "txt")
+        books.backup_outputs(spark, folder, "txt", retention=2)
+    kept = state.read_lines(spark, f"{folder}/.backups/*.txt")
+    return kept.groupBy(F.regexp_extract("file", r"([^/]+)\.\d{20}\.txt$", 1).alias("name")).agg(F.array_join(F.sort_array(F.collect_list("line")), ",").alias("versions"))
+
+
+def q99_selection(spark, sf):
+    ship_package(spark)
+    folder = shared_folder(spark, "selection")
+    books.save_selection(table(spark, sf, "chunks").select(F.regexp_extract("chapter_id", r"(\d+)$", 1).cast("int").alias("n")), folder, "p")
+    return spark.read.schema("chapters array<int>").json(folder).select(F.explode("chapters").alias("chapter"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q") and k[1:3].isdigit()}
 
 _SOLID = r"[\s\v\x{85}\p{Z}\x{00}-\x{1F}]+"
@@ -384,5 +403,7 @@ WITH t AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\r\n?', ch
 x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n, len(l) AS most FROM t) SELECT doc_id, CAST(n AS INTEGER) AS line_no, md5(line) AS line_md5 FROM x WHERE n > most - 3""",
     "q98_versioned_state": f"WITH x AS ({_CORE['q08_latest_state']}) SELECT CAST(3 AS INTEGER) AS v, status, count(*) AS n FROM x GROUP BY status",
     "q99_exported_chapters": f"WITH {_ROWS} SELECT doc_id || '-' || lpad(CAST(c AS VARCHAR), 4, '0') || '-A B ' || c AS doc_id, count(*) AS n FROM r GROUP BY r.doc_id, c",
+    "q99_output_backups": "SELECT replace(n_name, ' ', '%20') AS name, ['v0,v0', 'v1,v1', 'v2,v2', 'v2,v3'][n_nationkey % 4 + 1] AS versions FROM nation",
+    "q99_selection": "SELECT DISTINCT CAST(regexp_extract(chapter_id, '(\\d+)$', 1) AS INTEGER) AS chapter FROM chunks",
     "q99_saved_stats": _CORE["q06_chapter_stats"],
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant import external
 from foliant.functions import markup as M
 from foliant.functions import text as T
-from foliant.operators import chunking, entities, glossary, model_calls, navigation, progress, structure
+from foliant.operators import chunking, entities, glossary, model_calls, navigation, progress, stats, structure
 from foliant.plans.sql import _P, _matter, _strip
 from foliant.plans.sql import SQL as _CORE
 from foliant.session import ship_package, table
@@ -288,6 +288,26 @@ def q91_entity_counts(spark, sf):
     return entities.counted(table(spark, sf, "entities"))
 
 
+def q91_run_counters(spark, sf):
+    p = table(spark, sf, "chunks").select("chapter_id", F.explode("paragraph_ids").alias("paragraph_id"))
+    where = p.groupBy(F.col("paragraph_id").alias("source_paragraph_id")).agg(F.min("chapter_id").alias("chapter_id"))
+    firsts = entities.resolve_mentions(entities.first_wins(entities.normal_mentions(table(spark, sf, "mentions"))), table(spark, sf, "entities"))
+    return stats.run_counters(p, table(spark, sf, "processed_chunks"), firsts.join(where, "source_paragraph_id"))
+
+
+def q91_names_in_order(spark, sf):
+    return entities.names_in_order(table(spark, sf, "mentions").where("text is not null"), "mention_id", "text")
+
+
+def q91_usage_lines(spark, sf):
+    used = progress.usage(table(spark, sf, "events"), "ts", "event_type").where("day is not null")
+    return progress.usage_line(used.select(F.col("day").cast("string").alias("day"), F.col("event_type").alias("model"), "n"))
+
+
+def q91_next_chunks(spark, sf):
+    return progress.next_chunk(progress.chapter_status(table(spark, sf, "chunks"), table(spark, sf, "progress")))
+
+
 def q92_valid_indices(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.array((F.col("event_id") % 5).cast("int"), F.lit(-1), F.lit(2), (F.col("event_id") % 5).cast("int")).alias("x"))
     return rows.select("event_id", F.array_join(M.valid_indices(F.col("x"), F.lit(3)), ",").alias("valid"), F.size(external.chains(F.lit("a:m1, m2 ,b:c:m3,"))).alias("n_chain"))
@@ -401,6 +421,21 @@ WITH {_P}, f AS (SELECT paragraph_id, arg_min(text, {{'a': doc_id, 'b': pos}}) A
 SELECT DISTINCT mention_id, md5(f.t) AS text_md5 FROM (SELECT DISTINCT mention_id, text, source_paragraph_id FROM mentions) m LEFT JOIN f ON f.paragraph_id = m.source_paragraph_id""",
     "q91_entity_counts": f"""
 SELECT CASE WHEN lower({_strip('entity_type')}) = 'character' THEN 'characters' ELSE 'proper_nouns' END AS category, count(DISTINCT entity_id) AS n FROM entities GROUP BY 1""",
+    "q91_run_counters": f"""
+WITH p AS (SELECT chapter_id, unnest(paragraph_ids) AS paragraph_id FROM chunks), w AS (SELECT paragraph_id, min(chapter_id) AS chapter_id FROM p GROUP BY 1),
+r AS ({_CORE["q42_resolved_mentions"]}), m AS (SELECT DISTINCT mention_id, arg_min(source_paragraph_id, ord) OVER (PARTITION BY mention_id) AS sp FROM mentions),
+e AS (SELECT w.chapter_id, r.status FROM r JOIN m USING (mention_id) JOIN w ON w.paragraph_id = m.sp),
+a AS (SELECT chapter_id, count(*) AS paragraphs FROM (SELECT DISTINCT * FROM p) GROUP BY ROLLUP (chapter_id)),
+b AS (SELECT chapter_id, count(*) AS entities, count(*) FILTER (status = 'research_failed') AS research_failed FROM e GROUP BY ROLLUP (chapter_id)),
+c AS ({_CORE["q06_chapter_stats"]}), k AS (SELECT chapter_id FROM a UNION SELECT chapter_id FROM b UNION SELECT chapter_id FROM c)
+SELECT k.chapter_id, coalesce(chunks, 0) AS chunks, coalesce(completed, 0) AS completed, coalesce(flagged, 0) AS flagged, coalesce(cache_hits, 0) AS cache_hits, coalesce(attempts, 0) AS attempts, coalesce(retries, 0) AS retries, coalesce(issues, 0) AS issues,
+  coalesce(paragraphs, 0) AS paragraphs, coalesce(entities, 0) AS entities, coalesce(research_failed, 0) AS research_failed
+FROM k LEFT JOIN a ON a.chapter_id IS NOT DISTINCT FROM k.chapter_id LEFT JOIN b ON b.chapter_id IS NOT DISTINCT FROM k.chapter_id LEFT JOIN c ON c.chapter_id IS NOT DISTINCT FROM k.chapter_id""",
+    "q91_names_in_order": f"SELECT {_strip('text')} AS name, min(mention_id) AS ord FROM mentions WHERE {_strip('text')} <> '' GROUP BY 1",
+    "q91_usage_lines": """
+WITH u AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type || ' ' || count(*) || 'x' AS p FROM events WHERE ts IS NOT NULL GROUP BY strftime(ts, '%Y-%m-%d'), event_type) SELECT day, string_agg(p, ' · ' ORDER BY p) AS line FROM u GROUP BY day""",
+    "q91_next_chunks": f"""
+WITH s AS ({_CORE["q05_chapter_status"]}) SELECT chapter_id, 'chunk ' || least(done + 1, total) || '/' || total AS line FROM s WHERE status = 'in_progress' AND total > 0""",
     "q92_valid_indices": """
 SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN (event_id % 5) || ',2' ELSE '2' END AS valid, CAST(3 AS INTEGER) AS n_chain FROM events""",
 }

@@ -10,6 +10,7 @@ import html
 import io
 import posixpath
 import re
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -341,3 +342,36 @@ def newest_version(spark, folder: str) -> DataFrame:
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     whole = [s.getPath() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     return spark.read.parquet(max(p.toString() for p in whole))
+
+
+def backup_outputs(spark, folder: str, suffix: str, retention: int = 5) -> int:
+    """Copies the output files of a folder into its backups, named by time, and keeps the newest `retention` of each (0: none).
+
+    Nothing happens without output. Files are copied one after the other; a folder has one a book.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    root, to = path(folder), path(folder, ".backups")
+    fs = root.getFileSystem(conf)
+    n = 0
+    for f in fs.listStatus(root) if fs.exists(root) else ():
+        name = f.getPath().getName()
+        if f.isFile() and name.endswith(f".{suffix}"):
+            fs.mkdirs(to)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), fs, path(to, f"{name[: -len(suffix) - 1]}.{time.time_ns():020d}.{suffix}"), False, conf)
+            n += 1
+    held: dict[str, list] = {}
+    for f in fs.listStatus(to) if fs.exists(to) else ():
+        name = f.getPath().getName()
+        if name.endswith(f".{suffix}"):
+            held.setdefault(name[: -len(suffix) - 22], []).append(f.getPath())
+    for old in held.values():
+        for p in sorted(old, key=lambda x: x.getName(), reverse=True)[retention:]:
+            fs.delete(p, False)
+    return n
+
+
+def save_selection(numbers: DataFrame, folder: str, project: str) -> int:
+    """The chosen chapter numbers of a project as a JSON file `{"chapters": [1, 2]}`, sorted, once each."""
+    one = numbers.agg(F.to_json(F.struct(F.array_sort(F.collect_set(F.col(numbers.columns[0]).cast("int"))).alias("chapters"))).alias("content"))
+    return write_files(one.select(F.lit(project).alias("doc_id"), "content"), folder, "json")
