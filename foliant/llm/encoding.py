@@ -293,6 +293,7 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|(?:\xe0[\xa0-\xbf]|[\xe1-\xec\xee\x
 _EDGES = re.compile(f"^([{PUNCTUATION}]*)(.*?)([{PUNCTUATION}]*)$", re.DOTALL)
 #: What the states of a reading have in common: their numbers by the encoding they were written in, read once.
 _BY_READ = {r: [(i, s) for i, s in enumerate(STATES) if s[1] == r and s[2] == 1] for r in READ_WITH}
+_UTF8_OF = {r: i for r, states in _BY_READ.items() for i, s in states if s[0] == "utf-8"}
 _TWICE = [(i, s) for i, s in enumerate(STATES) if s[2] == 2]
 
 _STAY: dict = {None: None}
@@ -304,15 +305,46 @@ class Labeller:
     """Labels texts with a clean model; emissions of short runs are remembered within a bound."""
 
     def __init__(self, model: CleanModel):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.known = model, {}, {}
 
-    def _value(self, left: str, run: str, right: str, state: tuple[str, str, int], made: tuple[str, float] | None) -> float | None:
-        if not made or made[0] == run or not made[0]:
-            return None
-        value = self.model.score(left + made[0] + right) - made[1]
-        if made[0][:1].isalpha() and not (left.isalpha() or right.isalpha() or run[0].isalpha()):
-            value -= ALONE
-        return value
+    def candidates(self, run: str) -> tuple[float, list[tuple]]:
+        """What a run has in common wherever it stands: the clean score inside it, and for each text that states make of it or of what lies
+        between right punctuation at its ends (new run, its score inside, cost, part, whether the part became a letter, states, text)."""
+        got = self.known.get(run)
+        if got is not None:
+            return got
+        chars, score = set(run), self.model.score
+        lead, core, tail = _EDGES.match(run).groups() if len(run) > 1 else ("", "", "")
+        cores = {(a, b) for a in (0, len(lead)) for b in (len(run), len(run) - len(tail))} if core else {(0, len(run))}
+        texts: dict[tuple, list[int]] = {}
+
+        def put(made: tuple[str, float] | None, part: tuple[int, int], state: int) -> None:
+            if made and made[0] and made[0] != run[part[0] : part[1]]:
+                texts.setdefault((*made, *part), []).append(state)
+
+        for read in READ_WITH:
+            if chars.isdisjoint(_beyond_ascii[read]):
+                continue
+            table = _bytes_of(read)
+            for a, b in cores:
+                part = run[a:b]
+                if set(part) <= _readable[read]:
+                    raw, guessed = bytes([table[c] for c in part]), GUESSED * part.count("\ufffd")
+                    for i, state in _BY_READ[read]:
+                        put(_decoded(raw, state[0], guessed), (a, b), i)
+        for i, state in _TWICE:
+            if chars <= _readable[state[1]]:
+                put(inverse(run, state), (0, len(run)), i)
+        out = []
+        for (text, cost, a, b), states in texts.items():
+            new = run[:a] + text + run[b:]
+            out.append((new, score(new), cost, (a, b), text[0].isalpha() and not run[a].isalpha(), states, text))
+        got = (score(run), out)
+        if len(run) <= 24:
+            if len(self.known) > 50_000:
+                self.known = {}
+            self.known[run] = got
+        return got
 
     def _along(self, left: str, run: str, right: str, raw: bytes) -> tuple[float, Spans, str] | None:
         """Best labelling, character by character, of a run whose bytes are partly UTF-8: (value, damaged spans, text), with at least one span."""
@@ -345,41 +377,30 @@ class Labeller:
         got = self.memo.get(key)
         if got is not None:
             return got
-        score, whole, chars = self.model.score, ((0, len(run)),), set(run)
+        chars = set(run)
         if chars.isdisjoint(_wrong):
             return 0.0, {}  # only the clean state can have made it, whatever its likelihood
-        clean, out = score(left + run + right), {}
-        readings = [r for r in READ_WITH if not chars.isdisjoint(_beyond_ascii[r])]
-        valued: dict[tuple, tuple] = {}
-        lead, core, tail = _EDGES.match(run).groups() if readings and len(run) > 1 else ("", "", "")
-        cores = {(a, b) for a in (0, len(lead)) for b in (len(run), len(run) - len(tail))} if core else {(0, len(run))}
-        for read in readings:
-            table, states = _bytes_of(read), _BY_READ[read]
-            for a, b in cores:
-                part = run[a:b]
-                if not (chars if b - a == len(run) else set(part)) <= _readable[read]:
-                    continue
-                before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
-                beside = (score(left + run[:a]) if a else 0.0) + (score(run[b:] + right) if b < len(run) else 0.0)
-                raw, guessed = bytes([table[c] for c in part]), GUESSED * part.count("\ufffd")
-                for i, state in states:
-                    got = valued.get(same := (raw, state[0], a, b))  # readings often agree on the bytes
-                    if got is None:
-                        made = _decoded(raw, state[0], guessed)
-                        got = valued[same] = (self._value(before, part, after, state, made), made)
-                    value, made = got
-                    if value is not None and value + beside > max(clean - 2 * ENTER, out[i][0] if i in out else -math.inf):
-                        out[i] = (value + beside, ((a, b),), made[0])
-            utf8 = next(((i, s) for i, s in states if s[0] == "utf-8"), None)
-            if utf8 and len(run) > 1 and not chars.isdisjoint(_leads[read]):
-                raw = bytes([table[c] if c in table and c != "\ufffd" else 63 for c in run])
-                if _UTF8.search(raw) and (best := self._along(left, run, right, raw)) and best[0] > max(clean - 2 * ENTER, out[utf8[0]][0] if utf8[0] in out else -math.inf):
-                    out[utf8[0]] = best
-        for i, state in _TWICE:
-            if readings and chars <= _readable[state[1]]:
-                value = self._value(left, run, right, state, made := inverse(run, state))
-                if value is not None and value > clean - 2 * ENTER:
-                    out[i] = (value, whole, made[0])
+        score = step = self.model.score
+        whole = ((0, len(run)),)
+        inside, made = self.candidates(run)
+        clean, out = step(left + run[0]) + inside + step(run[-1] + right), {}
+        least = clean - 2 * ENTER
+        for new, inner, cost, (a, b), letter, states, text in made:
+            value = step(left + new[0]) + inner + step(new[-1] + right) - cost
+            if letter and not ((run[a - 1] if a else left).isalpha() or (run[b] if b < len(run) else right).isalpha()):
+                value -= ALONE
+            if value > least:
+                for i in states:
+                    if i not in out or out[i][0] < value:
+                        out[i] = (value, ((a, b),), text)
+        if len(run) > 1:
+            for read in READ_WITH:
+                if not chars.isdisjoint(_leads[read]):
+                    table = _bytes_of(read)
+                    raw = bytes([table[c] if c in table and c != "\ufffd" else 63 for c in run])
+                    i = _UTF8_OF[read]
+                    if _UTF8.search(raw) and (best := self._along(left, run, right, raw)) and best[0] > max(least, out[i][0] if i in out else -math.inf):
+                        out[i] = best
         if "\ufffd" in run or any("\x7f" <= c < "\xa0" for c in run):
             lost = [c for c in run if not (c == "\ufffd" or "\x7f" <= c < "\xa0")]
             out[-1] = (score(left + "".join(lost) + right) - LOST * (len(run) - len(lost)), whole, "")
