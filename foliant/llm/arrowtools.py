@@ -42,5 +42,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 def spread(df: DataFrame, parts: int) -> DataFrame:
-    """Give a CPU-bound stage at least `parts` tasks where the scan (a plan without exchanges) has fewer splits; a no-op on large inputs."""
-    return df.repartition(parts) if df._jdf.queryExecution().toRdd().getNumPartitions() < parts else df
+    """Give a CPU-bound stage at least `parts` tasks where the scan (a plan without exchanges) has fewer splits, at the price of writing its
+    rows to shuffle files once; a no-op on large inputs. The rows are the same either way."""
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
