@@ -282,9 +282,9 @@ def _decided(matches: DataFrame, key: str) -> DataFrame:
 
     A key has as many matches as its forms bring, a few each.
     """
-    m = matches.groupBy(key).agg(F.collect_list(F.struct("round", "cost", "cluster")).alias("m"))
-    m = m.select(key, F.filter("m", lambda x: x["round"] == F.array_min(F.transform("m", lambda y: y["round"]))).alias("m"))
-    near = F.filter("m", lambda x: x["cost"] <= F.array_min(F.transform("m", lambda y: y["cost"])) + 0.05)
+    m = matches.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("round", "cost", "cluster"))).alias("m"))
+    first = F.col("m")[0]
+    near = F.filter("m", lambda x: (x["round"] == first["round"]) & (x["cost"] <= first["cost"] + 0.05))
     return m.select(key, F.array_distinct(F.transform(near, lambda x: x["cluster"])).alias("c")).where("size(c) = 1").select(key, F.col("c")[0].alias("cluster"))
 
 
