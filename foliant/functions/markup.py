@@ -13,7 +13,8 @@ def mark_indonesian(html: Column) -> Column:
     return F.regexp_replace(html, r'((?:xml:)?lang=)(["\'])en(?:-[A-Za-z]+)?\2', "$1$2id$2")
 
 
-# Style of a centred image, openings of chapter labels, the sign of a line break in a title.
+# Fixed values and patterns: style of a centred image, openings of chapter labels, the sign of a line break in a title, and where a
+# closing quote is missing.
 IMAGE_STYLE = "display:block;margin:0 auto;width:100%;height:auto"
 LABEL_OPENINGS = ("Bab", "Chapter", "Extra Chapter")
 TITLE_BREAK = "\u241e"

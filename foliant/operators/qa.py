@@ -11,6 +11,13 @@ from foliant.functions import text as T
 ENGLISH_WORDS = ("the", "and", "you", "that", "this", "what", "is", "are", "was", "to", "of", "it", "my", "me", "your", "with", "for", "not", "but", "just", "so", "want", "how", "can", "be", "do", "i")
 ADDED_OPENINGS = ("Translation:", "Here is the translation:", "Here is your translation:", "Translator's note:", "Note:")
 
+# Fixed patterns: what counts as a URL and as a quoted span inside a line.
+URL_IN_LINE = r"https?://\S+|www\.\S+"
+QUOTED_SPAN = r'“([^”\n]*)”|"([^"\n]*)"'
+# Codes of the faults of archives.
+ARCHIVE_RULES = ("MIMETYPE_EXISTS", "MIMETYPE_UNIQUE", "MIMETYPE_FIRST", "MIMETYPE_UNCOMPRESSED", "MIMETYPE_VALUE", "CONTAINER_EXISTS", "OPF_MANIFEST_ID", "OPF_MANIFEST_HREF",
+                 "OPF_DUPLICATE_MANIFEST_ID", "OPF_RESOURCE_EXISTS", "OPF_SPINE_REFERENCE", "OPF_SPINE", "OPF_MANIFEST")
+
 ISSUE = "struct<rule:string,message:string,severity:string>"
 
 
@@ -28,8 +35,7 @@ def english_sentence(line: Column) -> Column:
 
     URLs are left out, and quoted spans of at most eight words without inner punctuation (titles, names).
     """
-    t = F.regexp_replace(line, r"https?://\S+|www\.\S+", " ")
-    span = r'“([^”\n]*)”|"([^"\n]*)"'
+    t, span = F.regexp_replace(line, URL_IN_LINE, " "), QUOTED_SPAN
     between, quoted = F.split(t, span, -1), F.regexp_extract_all(t, F.lit(span), F.lit(0))
 
     def kept(q: Column) -> Column:

@@ -1,4 +1,7 @@
-"""ANSI SQL, as DuckDB runs it, of the queries in foliant.plans.core."""
+"""ANSI SQL, as DuckDB runs it, of the queries in foliant.plans.core. Word lists are fixed values and come from where they stand."""
+
+from foliant.functions import text as T
+from foliant.operators import qa
 
 _P = """p AS (SELECT DISTINCT doc_id, pos, paragraph_id, idref, heading_level, all_bold,
   coalesce(text, array_to_string(list_transform(runs, lambda r: coalesce(r.text, '')), ''), '') AS text FROM paragraphs)"""
@@ -43,8 +46,8 @@ cs AS (SELECT chapter_id, count(*) AS chunks, count(*) FILTER (qa_passed) AS com
 
 _PAIRS = """pr AS (SELECT DISTINCT c.chapter_id, c.chunk_id, c.text AS source, p.translation FROM chunks c JOIN processed_chunks p USING (chapter_id, chunk_id))"""
 
-_TITLES = "mr|mrs|ms|miss|dr|lord|lady|sir|master|madam|madame"
-_TAILS = "kun|chan|san|sama|dono|sensei|senpai|sempai|tan"
+_TITLES = "|".join(T.HONORIFIC_TITLES)
+_TAILS = "|".join(T.HONORIFIC_SUFFIXES)
 
 
 def _core(c: str) -> str:
@@ -97,7 +100,7 @@ sp AS (SELECT doc_id, idref, count(*) AS n, count(*) FILTER (s <> '') AS filled,
   arg_min(s, pos) FILTER (regexp_matches(s, '^(Chapter|Extra Chapter)\b', 'i')) AS marker, arg_min(s, pos) FILTER (s <> '') AS opening FROM q GROUP BY doc_id, idref),
 k AS (SELECT *, headings = 0 AND markers = 0 AND n <= 8 AND filled > 0 AND plain = 0 AND chars - 1 <= 500 AS front, headings > 0 OR markers > 0 AS sure FROM sp)"""
 
-_ENGLISH = "'the','and','you','that','this','what','is','are','was','to','of','it','my','me','your','with','for','not','but','just','so','want','how','can','be','do','i'"
+_ENGLISH = ", ".join(f"'{w}'" for w in qa.ENGLISH_WORDS)
 
 
 def _english(c: str) -> str:
