@@ -91,6 +91,22 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def _reached(a: list[str], b: list[str]) -> tuple[int, int]:
+    """(least n for which the first n words of a have the longest common subsequence with b that all of a has, its length)."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    v, at, length = full, 0, 0
+    for i, w in enumerate(a):
+        u = v & places.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+            if (n := len(b) - v.bit_count()) > length:
+                at, length = i + 1, n
+    return at, length
+
+
 def _slot(phrases: tuple[str, ...]) -> dict[str, list[tuple[str, ...]]]:
     out: dict[str, list[tuple[str, ...]]] = {}
     for p in phrases:
@@ -108,7 +124,7 @@ def _aligned(template: tuple, ws: list[str]) -> bool:
     for k, slot in enumerate(template):
         now = set()
         for i, w in enumerate(ws):
-            if w in slot and (not k or any(0 <= i - e <= GAP for e in ends)):
+            if w in slot and (not k or any(i - d in ends for d in range(GAP + 1))):
                 now |= {i + 1 + len(rest) for rest in slot[w] if tuple(ws[i + 1 : i + 1 + len(rest)]) == rest}
         if not now:
             return False
@@ -168,20 +184,11 @@ def missing_end(source: str, answer: str) -> float:
     keep = {w for w, _ in a} & {w for w, _ in b}
     a, b = [x for x in a if x[0] in keep], [x for x in b if x[0] in keep]
     end_a = end_b = 0
-    if a and b:
-        rows = [[0] * (len(b) + 1)]
-        for w, _ in a:
-            last, row = rows[-1], [0]
-            for j, (x, _) in enumerate(b):
-                row.append(last[j] + 1 if w == x else max(last[j + 1], row[j]))
-            rows.append(row)
-        i, j = len(a), len(b)
-        while i and rows[i - 1][j] == rows[i][j]:
-            i -= 1  # of the best alignments the one that ends earliest in the source
-        while i and j and rows[i][j - 1] == rows[i][j]:
-            j -= 1
-        if i and j:
-            end_a, end_b = a[i - 1][1], b[j - 1][1]
+    # of the best alignments the one that ends earliest, in the source and then in the answer
+    i, whole = _reached([w for w, _ in a], [w for w, _ in b])
+    if whole:
+        j, _ = _reached([w for w, _ in b], [w for w, _ in a[:i]])
+        end_a, end_b = a[i - 1][1], b[j - 1][1]
     rest = answer[end_b:]
     # a sentence in a script without spaces is as long as one of about three times its characters
     rest_length = len(rest) + 2 * len(_DENSE.findall(rest))
