@@ -9,7 +9,9 @@ words alone say so, which finds reordered sentences.
 The sound pairs are written once, as numbers, to the shared folder; each round of EM is one pass over them with counts summed map-side,
 so what moves is the table of word pairs and not the text. The table is pruned to translations of at least KEEP probability, which bounds
 it by 1 / KEEP entries a source word. A table larger than BROADCAST_LIMIT goes out in blocks of target words, one pass each, since a
-target word is explained by the entries of its own only; the entries that a chunk has are then joined to it.
+target word is explained by the entries of its own only; the entries that a chunk has are then joined to it. Counts are whole numbers,
+so a lexicon is the same sent whole or in blocks. A chunk of any size is aligned whole: in tiles, whose scores follow from their own
+sentences and the rarities of the whole chunk.
 
 Defined results: chunks without a processed row or with a defect (module pairs) give no rows, nor do null or empty arrays; null and
 blank elements hold no sentence; repeated rows count once; a sentence identical on both sides (also one without letters) pairs with
@@ -21,8 +23,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +45,14 @@ UNEVEN, SKIP, CONFIDENT = 2.5, 4.5, 1.2
 BAND = 4
 #: Rounds of expectation-maximization, and the least probability kept after a round.
 ROUNDS, KEEP = 3, 0.02
+#: One occurrence in the counts. They are whole numbers, so their sums, and what is pruned, do not depend on how rows and words are shared
+#: out; a source word may stand in 2**33 pairs.
+UNIT = 1 << 30
 #: Word pairs that a worker counts before it hands them on.
 HELD = 1_500_000
-#: Sentence pairs of a chunk that are scored at once; a chunk with more is aligned in parts, cut where the length pass is sure.
-AT_ONCE = 90_000
+#: Sentences of a side, and their words, that are scored at once, and sentence pairs whose gains are held at once. What comes out does not
+#: depend on them.
+TILE, TILE_WORDS, STRIP = 100, 1500, 4_000_000
 #: Chunks whose word pairs are counted at once.
 EXPECT_ROWS = 250
 #: Probability at which a translation explains its word fully.
@@ -222,14 +230,14 @@ def _cross(s: np.ndarray, ns: np.ndarray, t: np.ndarray, nt: np.ndarray) -> tupl
 
 
 def _expect(bitext: DataFrame, table) -> DataFrame:
-    """(pair, n): expected counts of word pairs over all confident sentence pairs; `table` has (sorted pairs, probabilities) or None."""
+    """(pair, n): expected counts of word pairs, in UNITs, over all confident sentence pairs; `table` has (sorted pairs, probabilities) or None."""
 
     def batched(u: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(table.value[0])) if table else None
+        total = np.zeros(len(table.value[0]), np.int64) if table else None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for whole in batches:
             for b in (whole.slice(at, EXPECT_ROWS) for at in range(0, whole.num_rows, EXPECT_ROWS)):
@@ -239,7 +247,7 @@ def _expect(bitext: DataFrame, table) -> DataFrame:
                 key, occurrence, beside = _cross(*words)
                 if table is None:
                     u, inverse = np.unique(key, return_inverse=True)
-                    held.append((u, np.bincount(inverse, weights=1.0 / beside)))
+                    held.append((u, np.bincount(inverse, weights=np.rint(UNIT / beside)).astype(np.int64)))
                     if sum(len(k) for k, _ in held) > HELD:
                         yield from batched(*_merged(held))
                         held = []
@@ -249,20 +257,22 @@ def _expect(bitext: DataFrame, table) -> DataFrame:
                     v = np.where(keys[k] == key, p[k], 0.0)
                     norm = np.bincount(occurrence, weights=v)
                     share = v / np.maximum(norm[occurrence], 1e-12)
-                    np.add.at(total, k, share)
+                    np.add.at(total, k, np.rint(share * UNIT).astype(np.int64))
         if table is None:
-            u, n = _merged(held) if held else (np.empty(0, np.int64), np.empty(0))
+            u, n = _merged(held) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
         else:
             u, n = table.value[0][total > 0], total[total > 0]
         yield from batched(u, n)
 
-    return bitext.mapInArrow(run, "pair bigint, n double").groupBy("pair").agg(F.sum("n").alias("n"))
+    return bitext.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
     u, inverse = np.unique(key, return_inverse=True)
-    return u, np.bincount(inverse, weights=n)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, inverse, n)
+    return u, total
 
 
 def _lexicon(counts: DataFrame) -> DataFrame:
@@ -327,23 +337,67 @@ def _entries(bitext: DataFrame, table) -> DataFrame:
     return bitext.mapInArrow(run, "chapter_id string, chunk_id string, pair array<bigint>, p array<double>")
 
 
-class Aligner:
-    """Aligns the sentences of chunks with a lexicon."""
+class Scores(NamedTuple):
+    """How well some source sentences and some target ones translate each other."""
 
-    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray]):
-        key, p = lexicon[0], np.minimum(lexicon[1] / SURE, 1.0)
-        key, p = key[p >= FAINT], p[p >= FAINT]
-        order = np.argsort(key, kind="stable")
-        source, self.target, self.p = (key >> 31)[order], (key & 0x7FFFFFFF)[order], p[order]
-        # by source word, which has 1 / KEEP translations at most; a target word may stand for any number of source words
-        self.source, self.first, self.count = np.unique(source, return_index=True, return_counts=True)
+    one: np.ndarray  #: score of a pair: the mean of the two next
+    fwd: np.ndarray  #: how far a target sentence is explained by a source one
+    bwd: np.ndarray  #: how far a source sentence is explained by a target one
+    forward: np.ndarray  #: how far each target word is explained by each source sentence
+    backward: np.ndarray  #: how far each source word is explained by each target sentence
+    in_s: np.ndarray  #: weights of source words in their sentences, of sum one
+    in_t: np.ndarray
+    s_all: np.ndarray  #: whole weights of the source sentences
+    t_all: np.ndarray
 
-    @staticmethod
-    def _side(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words of a side, which sentence has which, their weights in a sentence (of sum one), and the sentences' whole weights.
+    def gains(self, rows: slice, cols: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What matches gain over leaving both out: of one sentence with one, of one with two targets, and of two with one target."""
+        near, back, ahead = self.one[rows, cols], self.backward[:, cols], self.forward[rows]
+        f, w, t_part, s_part = self.fwd[rows, cols], self.bwd[rows, cols], self.t_all[cols], self.s_all[rows]
+        # two targets for a source: what either explains of the source; two sources for a target likewise
+        both = self.in_s[rows] @ np.maximum(back[:, :-1], back[:, 1:])
+        share = t_part[:-1] / np.maximum(t_part[:-1] + t_part[1:], 1e-9)
+        split = (both + f[:, :-1] * share + f[:, 1:] * (1 - share)) / 2
+        split[np.minimum(both - w[:, :-1], both - w[:, 1:]) < PART] = -1
+        both = np.maximum(ahead[:-1], ahead[1:]) @ self.in_t[cols].T
+        share = (s_part[:-1] / np.maximum(s_part[:-1] + s_part[1:], 1e-9))[:, None]
+        merge = (both + w[:-1] * share + w[1:] * (1 - share)) / 2
+        merge[np.minimum(both - f[:-1], both - f[1:]) < PART] = -1
+        return near - MATCH, 2 * (split - MATCH) - UNEVEN_MATCH, 2 * (merge - MATCH) - UNEVEN_MATCH
+
+
+class Side:
+    """The sentences of one side of a chunk. A word weighs by its rarity: one over the sentences of the whole chunk that have it."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, sign: np.ndarray):
+        self.tokens, self.counts, self.sign = tokens, counts, sign
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+
+    @cached_property
+    def having(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words, and the sentences that have each."""
+        at = np.repeat(np.arange(len(self.counts)), self.counts)
+        order = np.lexsort((at, self.tokens))
+        word, at = self.tokens[order], at[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (at[1:] != at[:-1])
+        return np.unique(word[new], return_counts=True)
+
+    def runs(self, most: int) -> list[tuple[int, int]]:
+        """All sentences in runs of at most `most` sentences and TILE_WORDS words, or of one sentence."""
+        if len(self.counts) <= most and len(self.tokens) <= TILE_WORDS:
+            return [(0, len(self.counts))]
+        out, a = [], 0
+        while a < len(self.counts):
+            b = int(np.searchsorted(self.at, self.at[a] + TILE_WORDS, side="right")) - 1
+            out.append((a, a := min(max(b, a + 1), a + most, len(self.counts))))
+        return out
 
-        A word weighs by its rarity: one over the sentences that have it.
-        """
+    def weighed(self, which: list[int] | range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of some sentences, which sentence has which, their weights in a sentence (of sum one), and the sentences' whole weights."""
+        tokens, counts, part = self.tokens, self.counts, which != range(len(self.counts))
+        if part:
+            tokens, counts = np.concatenate([tokens[self.at[i] : self.at[i + 1]] for i in which]), counts[list(which)]
         order = np.argsort(tokens, kind="stable")
         ranked = tokens[order]
         new = np.ones(len(ranked), bool)
@@ -352,10 +406,22 @@ class Aligner:
         at[order] = np.cumsum(new) - 1
         has = np.zeros((len(counts), int(new.sum())))
         has[np.repeat(np.arange(len(counts)), counts), at] = 1.0
-        weight = has / np.maximum(has.sum(0), 1.0)
+        weight = has / np.maximum(self.having[1][np.searchsorted(self.having[0], ranked[new])] if part else has.sum(0), 1.0)
         whole = weight.sum(1)
         return ranked[new], has, weight / np.maximum(whole, 1e-9)[:, None], whole
 
+
+class Aligner:
+    """Aligns the sentences of chunks with a lexicon."""
+
+    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray]):
+        key, p = lexicon[0], np.minimum(lexicon[1] / SURE, 1.0)
+        key, p = key[p >= FAINT], p[p >= FAINT]
+        order = np.argsort(key, kind="stable")
+        source, self.target, self.p = (key >> 31)[order], (key & 0x7FFFFFFF)[order], p[order]
+        # by source word, which has 1 / KEEP translations at most; a target word may stand for any number of source words
+        self.source, self.first, self.count = np.unique(source, return_index=True, return_counts=True)
+
     def links(self, s_words: np.ndarray, t_words: np.ndarray) -> np.ndarray:
         """How far each target word is explained by each source word; fully by itself."""
         out = np.zeros((len(s_words), len(t_words)))
@@ -374,42 +440,52 @@ class Aligner:
         out[r[same], same] = 1.0
         return out
 
+    def _scores(self, s: Side, rows: list[int] | range, t: Side, cols: list[int] | range) -> Scores:
+        s_words, s_has, in_s, s_all = s.weighed(rows)
+        t_words, t_has, in_t, t_all = t.weighed(cols)
+        link = self.links(s_words, t_words)
+        forward, backward = np.minimum(s_has @ link, 1.0), np.minimum(link @ t_has.T, 1.0)
+        fwd, bwd = forward @ in_t.T, in_s @ backward
+        same = s.sign[rows][:, None] == t.sign[cols][None, :]
+        fwd[same] = bwd[same] = 1.0
+        return Scores((fwd + bwd) / 2, fwd, bwd, forward, backward, in_s, in_t, s_all, t_all)
+
     def align(self, s: np.ndarray, sc: np.ndarray, t: np.ndarray, tc: np.ndarray, s_sign: np.ndarray, t_sign: np.ndarray) -> list[tuple[int, int]]:
         """Pairs of sentences; a side is its words, their numbers by sentence, and a hash of each sentence.
 
-        A chunk of more than AT_ONCE sentence pairs is cut at one-to-one matches that the length pass is sure of.
+        Every sentence of a chunk is scored against every other, by the words of the two and their rarity in the whole chunk. Scores are
+        computed in tiles, so memory is bounded; a chunk of one tile keeps them, a larger one computes them again where they are needed.
         """
-        if len(sc) * len(tc) <= AT_ONCE:
-            return self._align(s, sc, t, tc, s_sign, t_sign)
-        cuts, most = [(0, 0)], int(AT_ONCE**0.5)
-        sure = [(i, j) for i, j, c in by_length((5 * sc + 1).tolist(), (5 * tc + 1).tolist()) if c < CONFIDENT or s_sign[i] == t_sign[j]]
-        for i, j in sure:
-            if max(i - cuts[-1][0], j - cuts[-1][1]) >= most // 2:
-                cuts.append((i, j))
-        cuts.append((len(sc), len(tc)))
-        s_at, t_at = np.concatenate([[0], np.cumsum(sc)]), np.concatenate([[0], np.cumsum(tc)])
-        out = []
-        for (i, j), (i2, j2) in zip(cuts, cuts[1:]):
-            out += [(x + i, y + j) for x, y in self._align(s[s_at[i] : s_at[i2]], sc[i:i2], t[t_at[j] : t_at[j2]], tc[j:j2], s_sign[i:i2], t_sign[j:j2])]
-        return out
-
-    def _align(self, s: np.ndarray, sc: np.ndarray, t: np.ndarray, tc: np.ndarray, s_sign: np.ndarray, t_sign: np.ndarray) -> list[tuple[int, int]]:
         n, m = len(sc), len(tc)
         if not n or not m:
             return []
-        s_words, s_has, in_s, s_all = self._side(s, sc)
-        t_words, t_has, in_t, t_all = self._side(t, tc)
-        link = self.links(s_words, t_words)
-        # how far each target word is explained by each source sentence, and each source word by each target sentence
-        forward, backward = np.minimum(s_has @ link, 1.0), np.minimum(link @ t_has.T, 1.0)
-        fwd, bwd = forward @ in_t.T, in_s @ backward
-        same = s_sign[:, None] == t_sign[None, :]
-        fwd[same] = bwd[same] = 1.0
-        one = (fwd + bwd) / 2
-        # clear matches at both ends need no search: each the best of its row and column
-        clear = (one >= CLEAR) & (one >= one.max(1, keepdims=True)) & (one >= one.max(0, keepdims=True))
+        left, right = Side(s, sc, s_sign), Side(t, tc, t_sign)
+        rows, cols = left.runs(max(1, min(TILE, STRIP // m))), right.runs(TILE)
+        held = self._scores(left, range(n), right, range(m)) if len(rows) == len(cols) == 1 else None
+
+        def scores(which: list[int] | range, others: list[int] | range) -> Scores:
+            return self._scores(left, which, right, others)
+
+        # the best scores of each sentence, and those of the pairs counted from the start and from the end
         k = min(n, m)
-        ahead, behind = clear.diagonal().tolist(), clear[n - k :, m - k :].diagonal().tolist()[::-1]
+        s_top, t_top, ahead, behind = np.zeros(n), np.zeros(m), np.zeros(k), np.zeros(k)
+        fwd_top, fwd_at, bwd_top, bwd_at = np.full(m, -1.0), np.zeros(m, np.int64), np.full(n, -1.0), np.zeros(n, np.int64)
+        for (a, b), (c, d) in product(rows, cols):
+            x = held or scores(range(a, b), range(c, d))
+            s_top[a:b], t_top[c:d] = np.maximum(s_top[a:b], x.one.max(1)), np.maximum(t_top[c:d], x.one.max(0))
+            v = x.one.diagonal(a - c)
+            ahead[max(a, c) :][: len(v)] = v
+            v = x.one.diagonal(a - c + m - n)
+            behind[max(a - (n - k), c - (m - k)) :][: len(v)] = v
+            i, j = x.fwd.argmax(0), x.bwd.argmax(1)
+            v, w = x.fwd[i, np.arange(d - c)], x.bwd[np.arange(b - a), j]
+            new = v > fwd_top[c:d]  # of equal ones the first
+            fwd_top[c:d][new], fwd_at[c:d][new] = v[new], i[new] + a
+            new = w > bwd_top[a:b]
+            bwd_top[a:b][new], bwd_at[a:b][new] = w[new], j[new] + c
+        # clear matches at both ends need no search: each the best of its row and column
+        ahead = ((ahead >= CLEAR) & (ahead >= s_top[:k]) & (ahead >= t_top[:k])).tolist()
+        behind = ((behind >= CLEAR) & (behind >= s_top[n - k :]) & (behind >= t_top[m - k :])).tolist()[::-1]
         head = next((i for i in range(k) if not ahead[i]), k)
         tail = next((i for i in range(k) if not behind[i]), k)
         if n != m or head < k:  # the last before a gap may be one part of an uneven match
@@ -418,78 +494,116 @@ class Aligner:
         out = {(i, i) for i in range(head)} | {(n - 1 - k, m - 1 - k) for k in range(tail)}
         if head + tail == n == m:
             return sorted(out)
-        rows, cols = slice(head, n - tail), slice(head, m - tail)
-        # two targets for a source: what either explains of the source; two sources for a target likewise
-        near, back, ahead_ = one[rows, cols], backward[:, cols], forward[rows]
-        f, w, t_part, s_part = fwd[rows, cols], bwd[rows, cols], t_all[cols], s_all[rows]
-        both = in_s[rows] @ np.maximum(back[:, :-1], back[:, 1:])
-        share = t_part[:-1] / np.maximum(t_part[:-1] + t_part[1:], 1e-9)
-        split = (both + f[:, :-1] * share + f[:, 1:] * (1 - share)) / 2
-        split[np.minimum(both - w[:, :-1], both - w[:, 1:]) < PART] = -1
-        both = np.maximum(ahead_[:-1], ahead_[1:]) @ in_t[cols].T
-        share = (s_part[:-1] / np.maximum(s_part[:-1] + s_part[1:], 1e-9))[:, None]
-        merge = (both + w[:-1] * share + w[1:] * (1 - share)) / 2
-        merge[np.minimum(both - f[:-1], both - f[1:]) < PART] = -1
-        path = self._path((near - MATCH).tolist(), (2 * (split - MATCH) - UNEVEN_MATCH).tolist(), (2 * (merge - MATCH) - UNEVEN_MATCH).tolist(), n - tail - head, m - tail - head)
-        out |= {(i + head, j + head) for i, j in path}
+
+        def gains(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Gains of the matches of sources a to b (of one with the source before) with all targets of the middle."""
+            low, high, before = head, m - tail, max(a - 1, head)
+            if held:
+                return held.gains(slice(a, b), slice(low, high))
+            near, split, merge = np.empty((b - a, high - low)), np.empty((b - a, max(high - low - 1, 0))), np.empty((b - before - 1, high - low))
+            for c, d in _within(cols, low, high):
+                first = max(c - 1, low)
+                x, y, z = scores(range(before, b), range(first, d)).gains(slice(None), slice(None))
+                near[:, c - low : d - low], split[:, first - low : d - 1 - low], merge[:, c - low : d - low] = x[a - before :, c - first :], y[a - before :], z[:, c - first :]
+            return near, split, merge
+
+        out |= {(i + head, j + head) for i, j in self._path(lambda a, b: gains(a + head, b + head), [(a - head, b - head) for a, b in _within(rows, head, n - tail)], m - tail - head)}
         # sentences left over, matched across the path, best first; then parts of sentences that are taken
         free_s, free_t = set(range(n)) - {i for i, _ in out}, set(range(m)) - {j for _, j in out}
-        for v, i, j in sorted(((one[i, j], i, j) for i in free_s for j in free_t), reverse=True):
-            if v >= CROSS and i in free_s and j in free_t:
+        crossing = []
+        for (a, b), (c, d) in product(rows, cols) if free_s and free_t else ():
+            which, others = [i for i in range(a, b) if i in free_s], [j for j in range(c, d) if j in free_t]
+            if which and others:
+                one = held.one[np.ix_(which, others)] if held else scores(which, others).one
+                i, j = np.nonzero(one >= CROSS)
+                crossing += zip(one[i, j].tolist(), np.array(which)[i].tolist(), np.array(others)[j].tolist())
+        for _, i, j in sorted(crossing, reverse=True):
+            if i in free_s and j in free_t:
                 out.add((i, j))
                 free_s.discard(i)
                 free_t.discard(j)
-        for j in free_t if n else ():
-            i = int(fwd[:, j].argmax())
-            taken = [y for x, y in out if x == i]
-            new = in_s[i] @ np.maximum(backward[:, j] - backward[:, taken].max(1, initial=0.0), 0)
-            if fwd[i, j] >= FURTHER and new >= PART:
-                out.add((i, j))
-        for i in free_s if m else ():
-            j = int(bwd[i].argmax())
-            taken = [x for x, y in out if y == j]
-            new = in_t[j] @ np.maximum(forward[i] - forward[taken].max(0, initial=0.0), 0)
-            if bwd[i, j] >= FURTHER and new >= PART:
-                out.add((i, j))
+        for j in free_t:
+            if fwd_top[j] >= FURTHER:
+                i = int(fwd_at[j])
+                taken = [y for x, y in out if x == i]
+                if held:
+                    weight, new, old = held.in_s[i], held.backward[:, j], held.backward[:, taken]
+                else:
+                    x = scores([i], [j, *taken])
+                    weight, new, old = x.in_s[0], x.backward[:, 0], x.backward[:, 1:]
+                if weight @ np.maximum(new - old.max(1, initial=0.0), 0) >= PART:
+                    out.add((i, j))
+        for i in free_s:
+            if bwd_top[i] >= FURTHER:
+                j = int(bwd_at[i])
+                taken = [x for x, y in out if y == j]
+                if held:
+                    weight, new, old = held.in_t[j], held.forward[i], held.forward[taken]
+                else:
+                    x = scores([i, *taken], [j])
+                    weight, new, old = x.in_t[0], x.forward[0], x.forward[1:]
+                if weight @ np.maximum(new - old.max(0, initial=0.0), 0) >= PART:
+                    out.add((i, j))
         return sorted(out)
 
-
     @staticmethod
-    def _path(one: list[list[float]], split: list[list[float]], merge: list[list[float]], n: int, m: int) -> set[tuple[int, int]]:
-        """Matches on the best monotone path; scores are gains over leaving both out."""
-        best = [[0.0] * (m + 1) for _ in range(n + 1)]
-        back = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if not i and not j:
-                    continue
-                v, k = -1.0, 0
-                if i and best[i - 1][j] > v:
-                    v, k = best[i - 1][j], 2
-                if j and best[i][j - 1] > v:
-                    v, k = best[i][j - 1], 3
-                if i and j and (c := best[i - 1][j - 1] + one[i - 1][j - 1]) > v:
-                    v, k = c, 1
-                if i > 1 and j and (c := best[i - 2][j - 1] + merge[i - 2][j - 1]) > v:
-                    v, k = c, 4
-                if i and j > 1 and (c := best[i - 1][j - 2] + split[i - 1][j - 2]) > v:
-                    v, k = c, 5
-                best[i][j], back[i][j] = v, k
-        out: set[tuple[int, int]] = set()
-        i, j = n, m
+    def _path(gains: Callable, strips: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
+        """Matches on the best monotone path; gains(a, b) has what those of sources a to b gain over leaving both out.
+
+        One strip of sources is held at a time; on the way back the ones before the last are computed again from the two rows before them.
+        """
+
+        def fill(a: int, b: int, before: np.ndarray, last: np.ndarray) -> tuple:
+            one, split, merge = gains(a, b)
+            best = np.empty((b - a + 2, m + 1))
+            best[0], best[1] = before, last
+            skipped = len(merge) - (b - a)  # -1 where no source stands before the strip
+            for r in range(b - a):
+                now = best[r + 2]
+                now[:] = best[r + 1]
+                np.maximum(now[1:], best[r + 1, :-1] + one[r], out=now[1:])
+                np.maximum(now[2:], best[r + 1, :-2] + split[r], out=now[2:])
+                if r + skipped >= 0:
+                    np.maximum(now[1:], best[r, :-1] + merge[r + skipped], out=now[1:])
+                np.maximum.accumulate(now, out=now)
+            return a, best, one, split, merge, skipped
+
+        starts, rows = [], (np.zeros(m + 1), np.zeros(m + 1))
+        for a, b in strips:
+            starts.append((a, b, *rows))
+            held = fill(*starts[-1])
+            rows = held[1][-2].copy(), held[1][-1].copy()
+        out: list[tuple[int, int]] = []
+        i, j = strips[-1][1] if strips else 0, m
         while i and j:
-            k = back[i][j]
-            if k == 1:
-                out.add((i - 1, j - 1))
-            elif k == 4:
-                out |= {(i - 2, j - 1), (i - 1, j - 1)}
-            elif k == 5:
-                out |= {(i - 1, j - 2), (i - 1, j - 1)}
-            di, dj = {1: (1, 1), 2: (1, 0), 3: (0, 1), 4: (2, 1), 5: (1, 2)}[k]
-            i, j = i - di, j - dj
+            while i <= starts[-1][0]:
+                starts.pop()
+            if held[0] != starts[-1][0]:
+                held = fill(*starts[-1])
+            a, best, one, split, merge, skipped = held
+            r = i - 1 - a
+            v = best[r + 2, j]
+            if best[r + 1, j] == v:
+                i -= 1
+            elif best[r + 2, j - 1] == v:
+                j -= 1
+            elif best[r + 1, j - 1] + one[r, j - 1] == v:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif r + skipped >= 0 and best[r, j - 1] + merge[r + skipped, j - 1] == v:
+                i, j = i - 2, j - 1
+                out += (i, j), (i + 1, j)
+            else:
+                i, j = i - 1, j - 2
+                out += (i, j), (i, j + 1)
         return out
 
 
+def _within(runs: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The runs inside low to high."""
+    return [(max(a, low), min(b, high)) for a, b in runs if max(a, low) < min(b, high)]
+
+
 _held: list[tuple[object, Aligner]] = []
 
 

@@ -184,3 +184,38 @@ def test_length_band_grows_with_what_is_left_out():
     got = {(i, j) for i, j, _ in align.by_length(s, t)}
     want = {(i, i) for i in range(10)} | {(i, i - 14) for i in range(24, 40)}
     assert len(want & got) >= 20  # within the first band none of the last could be
+
+
+def test_large_chunks_are_aligned_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400  # more than 90,000 pairs
+    lengths = rng.integers(4, 12, n)
+    source = np.split(rng.integers(1, 3000, lengths.sum()), np.cumsum(lengths)[:-1])
+    order = list(range(n))
+    order[20], order[380] = 380, 20  # two sentences far apart have changed places
+    del order[200]
+    target = [source[i] + 10_000 for i in order]
+    target[100:101] = np.split(target[100], [len(target[100]) // 2])
+    want = {(i, j + (j > 100)) for j, i in enumerate(order)} | {(100, 101)}
+
+    def got(lexicon=(np.sort((np.arange(1, 3000) << 31) | (np.arange(1, 3000) + 10_000)), np.ones(2999))):
+        sides = [(np.concatenate(x), np.array([len(w) for w in x])) for x in (source, target)]
+        return align.Aligner(lexicon).align(*sides[0], *sides[1], np.arange(n), -1 - np.arange(len(target)))
+
+    whole = got()
+    assert {(20, 380), (380, 20), (100, 100), (100, 101)} <= want & set(whole) and len(want & set(whole)) >= 0.99 * len(want)
+    for tile, words_, strip in ((10**6, 10**9, 10**9), (37, 200, 9000)):  # one tile, and many
+        for name, v in (("TILE", tile), ("TILE_WORDS", words_), ("STRIP", strip)):
+            monkeypatch.setattr(align, name, v)
+        assert got() == whole
+
+
+def test_counts_do_not_depend_on_how_rows_are_shared_out(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(300):
+        a, b = int(rng.integers(3, 50)), int(rng.integers(3, 50))
+        rows.append((str(k), rng.choice(40, a, replace=a > 40).tolist(), [a], (100 + rng.choice(60, b)).tolist(), [b]))
+    df = spark.createDataFrame(rows, "chunk_id string, left array<int>, left_n array<int>, right array<int>, right_n array<int>")
+    counts = [dict(map(tuple, align._expect(df.repartition(parts), None).collect())) for parts in (1, 3, 7)]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) > 1000
